@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import near_dup
+from tessella.llm import dac, fingerprints, mixing, near_dup, packing, rollups, url_model
+from tessella.llm.common import scratch_path, stage, text_key
+from tessella.llm.tokens import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +18,40 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {"op2_near_dup": op2_near_dup}
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.token_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch of inserts, committed, and committed again to no effect."""
+    counts = rollups.document_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k")
+    ledger = rollups.Ledger(spark, scratch_path(spark, "ledger"))
+    for _ in range(2):
+        ledger.commit("documents", rollups.inserts(counts))
+    return ledger.totals()
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 4,096 tokens; equal texts and more than two documents of a source never share one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text_key(F.col("text")).alias("cluster"), "text")
+    lengths = token_counts(docs).withColumn("n_tokens", F.col("n_tokens") + 1)
+    return packing.best_fit(stage(lengths, "lengths"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 65,536 characters; each source weighs as the square root of its size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("size"))
+    docs = stage(docs, "sizes")
+    return mixing.schedule(docs, mixing.tempered_weights(docs, size=F.col("size")), 65_536, size=F.col("size"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_model.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_near_dup, op3_token_files, op4_token_counts, op6_packing, op7_mixing, op8_url_filter, op9_fingerprints)}
 ORACLES: dict[str, str] = {}
