@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import dac, fingerprints, mixing, near_dup, packing, rollups, url_model
+from tessella.llm import dac, embed_dup, fingerprints, lm_score, mixing, near_dup, packing, rollups, toxicity, url_model
 from tessella.llm.common import scratch_path, stage, text_key
 from tessella.llm.tokens import token_counts
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -31,6 +35,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op5_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 4,096 tokens; equal texts and more than two documents of a source never share one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", text_key(F.col("text")).alias("cluster"), "text")
@@ -53,5 +61,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dup, op3_token_files, op4_token_counts, op6_packing, op7_mixing, op8_url_filter, op9_fingerprints)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_token_files, op4_token_counts, op5_embedding_dup, op6_packing, op7_mixing, op8_url_filter, op9_fingerprints, op10_lm_score)}
 ORACLES: dict[str, str] = {}

@@ -253,6 +253,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
+def _score(model: Model):
+    return 1 / (1 + F.exp(-(F.lit(model.offset) + F.lit(model.slope) * F.col("evidence"))))
+
+
+def rejected(docs: DataFrame, model: Model, keep: bool = False, text_col: str = "text") -> DataFrame:
+    """The rows, all their columns, whose score is 0.3 or more, or with `keep` the others. No join: texts pass through."""
+    arrow_rows(docs.sparkSession)
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    found = evidence(docs.select(*columns, F.col(f"`{text_col}`").alias("text")), model)
+    bad = _score(model) >= THRESHOLD
+    return found.where(~bad if keep else bad).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, evidence, clauses for every row.
 
@@ -265,5 +278,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     model = fit(docs, labels, id_col, text_col)
     found = evidence(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
-    score = 1 / (1 + F.exp(-(F.lit(model.offset) + F.lit(model.slope) * F.col("evidence"))))
+    score = _score(model)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), "evidence", "clauses")
