@@ -35,13 +35,11 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items()}
     out = {s: max(int(x), int(x > 0)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (out[s] - exact[s], s))
-    k = 0
     while (left := period - sum(out.values())) != 0:
-        s = order[k % len(order)] if left > 0 else max(out, key=lambda s: (out[s] - exact[s], out[s], s))
-        if exact[s] > 0:
-            out[s] += 1 if left > 0 else -1
-        k += 1
+        up = left > 0
+        free = [s for s in exact if exact[s] > 0 and (up or out[s] > 1)]
+        s = min(free, key=lambda s: (out[s] - exact[s], s)) if up else max(free, key=lambda s: (out[s] - exact[s], s))
+        out[s] += 1 if up else -1
     return out
 
 

@@ -145,9 +145,6 @@ def near_duplicates(
     pivots = pivots.select("bucket", (-F.col("m.col2")).alias("pivot"), F.col("m.n_shingles").alias("pivot_n"))
     spoked = stage(members.join(pivots, "bucket").select("bucket", "doc_id", "n_shingles", "pivot", "pivot_n"), "spokes")
 
-    def possible(n: str, m: str):
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m))
-
     spokes = spoked.where("doc_id <> pivot").select(F.col("doc_id").alias("x"), F.col("pivot").alias("y")).distinct()
     wanted = spoked.select("doc_id").distinct()
     sets = stage(
@@ -170,14 +167,26 @@ def near_duplicates(
         )
     )
     near = stage(near, "near")
-    outer = near.where("own <> theirs").alias("o")
+    # Shingles that no other text of an unfinished bucket has can't be in common: too many of them rule a text out.
+    unfinished = near.join(near.where("own <> theirs").select("bucket").distinct(), "bucket", "left_semi")
+    shingles = sets.join(unfinished.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
+    single = shingles.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("doc_id").alias("doc_id")).where("texts = 1")
+    single = single.groupBy("doc_id").agg(F.count("*").alias("single"))
+    open_to_links = (
+        unfinished.join(single, "doc_id", "left")
+        .withColumn("shared", F.col("n_shingles") - F.coalesce("single", F.lit(0)))
+        .where(100 * F.col("shared") >= percent * F.col("n_shingles"))
+    )
+    open_to_links = stage(open_to_links, "open")
+    outer = open_to_links.where("own <> theirs").alias("o")
     # far is 1 - J; two linked documents differ in it by at most the largest distance of a link
     reach = 1 - percent / 100 + 1e-9
+    enough = (100 + percent) * F.least("o.shared", "i.shared") >= percent * (F.col("o.n_shingles") + F.col("i.n_shingles"))
     rest = (
-        outer.join(near.alias("i"), "bucket")
+        outer.join(open_to_links.alias("i"), "bucket")
         .where(
             (F.col("o.own") != F.col("i.own"))
-            & possible("o.n_shingles", "i.n_shingles")
+            & enough
             & (F.abs(F.col("o.far") - F.col("i.far")) <= reach)
             & ((F.col("i.own") == F.col("i.theirs")) | (F.col("o.doc_id") < F.col("i.doc_id")))
             & (F.col("i.far") > 0)

@@ -177,7 +177,7 @@ def learn_lexicon(texts: DataFrame) -> Model:
         share = (F.col("n1") + 0.5) / (F.col("n1") + F.col("docs0") + 1.0)
         gain = F.col("n1") * F.log(share / p) + F.col("docs0") * F.log((1 - share) / (1 - p))
         # 16 is about the log of the number of terms tried; less could be chance
-        rows = counted.select("term", share.alias("share"), gain.alias("gain")).where((F.col("share") > max(0.5, 2 * p)) & (F.col("gain") > 16 + 0 * p))
+        rows = counted.select("term", share.alias("share"), gain.alias("gain")).where((F.col("share") > max(0.5, 2 * p)) & (F.col("gain") > 16))
         for r in rows.orderBy(F.desc("gain"), "term").limit(TERMS).collect():
             weight = float(np.log(r["share"] / (1 - r["share"])) - np.log(p / (1 - p)))
             lexicon[r["term"] & (1 << 64) - 1] = INSULT, min(weight, 8.0)
