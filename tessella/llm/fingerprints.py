@@ -8,9 +8,9 @@ a sample with probability sum min(S) / sum max(S), their generalised Jaccard
 similarity. A sample is named by the bits of its least value, which only the same
 term with the same t reaches.
 
-Terms are hashed to 2**16 dimensions, whose r, c and b a worker draws once from a
-fixed seed, so a sample costs a look-up a term; most terms occur once, where t is
-0 and the value a constant. Colliding terms add up as one.
+The r, b and c of a term are looked up by three different parts of its 64-bit hash
+in tables of 2**15 rows that a worker draws once from a fixed seed, so a sample costs
+three look-ups a term and 2**45 terms differ. Most terms occur once, where t is 0.
 """
 
 from __future__ import annotations
@@ -25,44 +25,44 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import arrow_rows, distinct_per_row, slices, windows, word_hashes
 
-SAMPLES, WIDTH, BITS, SEED = 64, 5, 16, 20240229
+SAMPLES, WIDTH, BITS, SEED, STEP = 64, 5, 15, 20240229, 1 << 13
 _tables: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
 
 
 def tables(samples: int, bits: int) -> tuple[np.ndarray, ...]:
-    """r, b, ln c and the value for weight 1, one row a dimension and one column a sample."""
+    """r, b - 1 and ln c, one column a sample."""
     if (samples, bits) not in _tables:
         g = np.random.Generator(np.random.PCG64(SEED))
         shape = (1 << bits, samples)
         r = g.gamma(2.0, size=shape).astype(np.float32)
         c = np.log(g.gamma(2.0, size=shape)).astype(np.float32)
-        b = g.random(shape, dtype=np.float32)
-        _tables[samples, bits] = r, b, c, c + r * b - r
+        b = g.random(shape, dtype=np.float32) - np.float32(1)
+        _tables[samples, bits] = r, b, c
     return _tables[samples, bits]
 
 
 def signatures(flat: np.ndarray, at: np.ndarray, samples: int = SAMPLES, width: int = WIDTH, bits: int = BITS) -> np.ndarray:
     """A row of samples for each text; a text without words has zeros."""
-    r, b, c, once = tables(samples, bits)
+    tables_r, tables_b, tables_c = tables(samples, bits)
     words, first = word_hashes(flat, at)
     runs, starts = windows(words, first, width)
-    terms, weights, begins = distinct_per_row(runs >> np.uint64(64 - bits), starts)
-    out = np.zeros((len(at) - 1, samples), dtype=np.uint32)
-    full = np.flatnonzero(np.diff(begins))
-    step = 1 << 15
-    k = 0
-    while k < len(full):
-        m = max(k + 1, int(np.searchsorted(begins[full], begins[full[k]] + step)))
-        lo, hi = begins[full[k]], begins[full[m - 1] + 1]
-        d = terms[lo:hi].astype(np.int64)
-        value = once[d]
+    terms, weights, begins = distinct_per_row(runs, starts)
+    low = np.full((len(at) - 1, samples), np.float32(np.inf))
+    part = lambda k: (terms[lo:hi] >> np.uint64(64 - bits * k) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    for lo in range(0, len(terms), STEP):
+        hi = min(lo + STEP, len(terms))
+        r, b = tables_r.take(part(1), axis=0), tables_b.take(part(2), axis=0)
+        value = tables_c.take(part(3), axis=0)
         if len(heavy := np.flatnonzero(weights[lo:hi] > 1)):
-            h = d[heavy]
-            t = np.floor(np.log(weights[lo:hi][heavy].astype(np.float32))[:, None] / r[h] + b[h])
-            value[heavy] = c[h] - r[h] * (t - b[h]) - r[h]
-        out[full[k:m]] = np.minimum.reduceat(value, begins[full[k:m]] - lo, axis=0).view(np.uint32) | np.uint32(1)
-        k = m
-    return out
+            t = np.floor(np.log(weights[lo:hi][heavy].astype(np.float32))[:, None] / r[heavy] + (b[heavy] + np.float32(1)))
+            b[heavy] -= t
+        r *= b
+        value += r
+        # the rows whose terms lie in this step; a row that goes on keeps its least value so far
+        rows = np.arange(np.searchsorted(begins, lo, side="right") - 1, np.searchsorted(begins, hi))
+        rows = rows[begins[rows + 1] > begins[rows]]
+        np.minimum.at(low, rows, np.minimum.reduceat(value, np.maximum(begins[rows] - lo, 0), axis=0))
+    return np.where(np.isinf(low), np.uint32(0), low.view(np.uint32) | np.uint32(1))
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
