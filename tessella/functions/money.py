@@ -39,4 +39,4 @@ def vnd(x: Column) -> Column:
 def bulk_percent(text: Column) -> Column:
     """'+5,5 %' as 5.5; null where it is no signed decimal."""
     plain = F.replace(F.replace(F.trim(text), F.lit("%"), F.lit("")), F.lit(","), F.lit("."))
-    return F.expr("try_cast(p as double)") if False else plain.try_cast("double")
+    return plain.try_cast("double")

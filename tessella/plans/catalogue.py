@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessella.plans import quoting
+from tessella.plans import matching, ordering, products, quoting, texts
 
-MODULES = (quoting,)
+MODULES = (quoting, products, matching, ordering, texts)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
