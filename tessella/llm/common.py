@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: default of 10,000 rows could be gigabytes.
 ARROW_ROWS = 512
 #: Bytes of text that a hashing kernel works on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

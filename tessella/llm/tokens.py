@@ -35,8 +35,8 @@ PUNCTUATION &= ~LETTER
 PUNCTUATION[48:58] = False
 #: White space by any definition, in UTF-8, other than the four characters above.
 RARE = re.compile(rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf")
-#: Pieces that a worker keeps: about 150 MB.
-KEPT = 1_000_000
+#: Pieces that a worker keeps: about 50 MB. At that number it forgets them all and begins anew.
+KEPT = 250_000
 
 
 def default_path() -> str:
@@ -82,8 +82,9 @@ class Encoder:
         text = flat.tobytes()
         for k, ids in zip(new, self._encode([text[starts[first[k]] : ends[first[k]]].decode() for k in new]), strict=True):
             found[k] = ids
-            if len(self.known) < self.kept:
-                self.known[int(names[k])] = ids
+            if len(self.known) >= self.kept:
+                self.known.clear()
+            self.known[int(names[k])] = ids
         pool = np.frombuffer(b"".join(found), self.kind)
         lens = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
         begin = np.cumsum(lens) - lens
