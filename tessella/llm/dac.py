@@ -30,24 +30,35 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    out = []
-    for i in range(0, len(values), 1 << 18):
-        v = values[i : i + (1 << 18), None]
-        out.append(np.packbits(((v >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8).ravel(), bitorder="little").tobytes())
-    return b"".join(out)
+    """Values of `width` bits without gaps, lowest bit first; eight of them fill `width` bytes."""
+    groups = -(-len(values) // 8)
+    v = np.zeros(groups * 8, dtype=np.uint32)
+    v[: len(values)] = values
+    v = v.reshape(groups, 8)
+    out = np.empty((groups, width), dtype=np.uint8)
+    for k in range(width):
+        byte = np.zeros(groups, dtype=np.uint32)
+        for j in range(8 * k // width, (8 * k + 7) // width + 1):
+            shift = j * width - 8 * k
+            byte |= v[:, j] << np.uint32(shift) if shift >= 0 else v[:, j] >> np.uint32(-shift)
+        out[:, k] = byte & np.uint32(255)
+    return out.tobytes()[: -(-len(values) * width // 8)]
 
 
 def _unpack(data: np.ndarray, n: int, width: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint32)
-    step = 1 << 18
-    for i in range(0, n, step):
-        m = min(step, n - i)
-        bits = np.unpackbits(data[i * width // 8 : -(-(i + m) * width // 8)], bitorder="little")[: m * width].reshape(m, width)
-        v = np.zeros(m, dtype=np.uint32)
-        for b in range(width):
-            v |= bits[:, b].astype(np.uint32) << np.uint32(b)
-        out[i : i + m] = v
-    return out
+    groups = -(-n // 8)
+    d = np.zeros(groups * width, dtype=np.uint8)
+    d[: len(data)] = data
+    d = d.reshape(groups, width)
+    out = np.empty((groups, 8), dtype=np.uint32)
+    for j in range(8):
+        v = np.zeros(groups, dtype=np.uint64)
+        for k in range(j * width // 8, (j * width + width - 1) // 8 + 1):
+            shift = 8 * k - j * width
+            byte = d[:, k].astype(np.uint64)
+            v |= byte << np.uint64(shift) if shift >= 0 else byte >> np.uint64(-shift)
+        out[:, j] = v & np.uint64((1 << width) - 1)
+    return out.ravel()[:n]
 
 
 def encode(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
