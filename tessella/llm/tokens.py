@@ -35,7 +35,7 @@ PUNCTUATION &= ~LETTER
 PUNCTUATION[48:58] = False
 #: White space by any definition, in UTF-8, other than the four characters above.
 RARE = re.compile(rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf")
-#: Pieces that a worker keeps: about 50 MB. At that number it forgets them all and begins anew.
+#: Pieces that a worker keeps: about 50 MB. Those of the last KEPT / 2 new or old ones met stay known.
 KEPT = 250_000
 
 
@@ -54,6 +54,7 @@ class Encoder:
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.known: dict[int, bytes] = {}
+        self.before: dict[int, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         head = self.tokenizer.to_str().partition('"model"')[0]
         special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -77,14 +78,19 @@ class Encoder:
         codes, names = pd.factorize(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
         first = np.empty(len(names), dtype=np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        found = list(map(self.known.get, names.tolist()))
-        new = [k for k, ids in enumerate(found) if ids is None]
+        keys = names.tolist()
+        found = list(map(self.known.get, keys))
+        missed = [k for k, ids in enumerate(found) if ids is None]
+        for k in missed:
+            found[k] = self.before.get(keys[k])
+        new = [k for k in missed if found[k] is None]
         text = flat.tobytes()
         for k, ids in zip(new, self._encode([text[starts[first[k]] : ends[first[k]]].decode() for k in new]), strict=True):
             found[k] = ids
-            if len(self.known) >= self.kept:
-                self.known.clear()
-            self.known[int(names[k])] = ids
+        for k in missed:
+            if len(self.known) >= self.kept // 2:
+                self.known, self.before = {}, self.known
+            self.known[keys[k]] = found[k]
         pool = np.frombuffer(b"".join(found), self.kind)
         lens = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
         begin = np.cumsum(lens) - lens
