@@ -57,3 +57,20 @@ def quantity(text: Column) -> Column:
     plain = F.replace(F.trim(text), F.lit(","), F.lit("."))
     number = F.regexp_extract(plain, r"-?[0-9]+(?:\.[0-9]+)?", 0).try_cast("double")
     return F.when(~plain.rlike(r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}") & (number > 0) & (number <= 100_000), number)
+
+
+def money_values(line: Column) -> Column:
+    """Amounts of 5 to 10 digits from 10,000 to 999,000,000 in the order in which they first occur."""
+    found = F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit("(?:[0-9]{1,3}(?:[.,][0-9]{3}){1,3}|[0-9]{5,10})"), F.lit(0))
+    digits = F.filter(F.transform(found, lambda x: F.regexp_replace(x, "[.,]", "")), lambda d: F.length(d).between(5, 10))
+    return F.array_distinct(F.filter(F.transform(digits, lambda d: d.cast("long")), lambda n: n.between(10_000, 999_000_000)))
+
+
+def price_fields(values: Column) -> Column:
+    """Of distinct amounts: the least as cost, the greatest of several as list price, the second of three or more as least retail price; else 0."""
+    up, none = F.array_sort(values), F.lit(0).cast("long")
+    at = lambda k: F.coalesce(F.get(up, F.lit(k)), none)
+    n = F.size(up)
+    return F.struct(
+        at(0).alias("cost"), F.when(n > 1, F.element_at(up, -1)).otherwise(none).alias("listed"), F.when(n > 2, at(1)).otherwise(none).alias("retail")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.inference import junk
 from tessella.functions.money import change_percent, half_up
 
 
@@ -56,7 +57,5 @@ def merge(catalog: DataFrame, incoming: DataFrame, key: Column, kept: tuple[str,
 
 
 def without_junk(catalog: DataFrame) -> DataFrame:
-    """Without products whose name starts as a list item does or is a long text, where there is neither code nor price."""
-    bare = (F.coalesce(F.col("sku"), F.lit("")) == "") & (F.coalesce(F.col("cost"), F.lit(0)) == 0)
-    listed = F.coalesce(F.col("name"), F.lit("")).rlike(r"^\s*(?:[-•*+]|[0-9]+[.)])\s")
-    return catalog.where(~(listed | (bare & (F.length(F.coalesce(F.col("name"), F.lit(""))) > 80))))
+    """Without products (name, cost, sku) that are list items, clauses, terms or long texts."""
+    return catalog.where(~junk(F.col("name"), F.col("cost"), F.col("sku")))

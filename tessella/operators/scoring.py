@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.inference import DOMAIN_WORDS, speaks_of
+
 #: Name words of total and note rows.
 NOTE_WORDS = "tổng cộng|thành tiền|vat|thuế|chiết khấu|ghi chú"
 
@@ -58,3 +60,14 @@ def summary(lines: DataFrame) -> DataFrame:
         F.count("*").alias("total"), n("auto_approved"), n("need_review"), n("failed"), n("skipped"), F.count_if(F.col("status") == "matched").alias("matched"),
         (F.floor(F.coalesce(mean, F.lit(0.0)) * 100 + 0.5) / 100).alias("confidence"),
     )
+
+
+def detect_domain(items: DataFrame, group: str, order: str, text: Column, first: int = 50) -> DataFrame:
+    """(group, domain, share): the domain most of a group's first items speak of, the earlier listed of equals; 'general' where none does."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    sample = items.select(group, order, text.alias("text")).withColumn("place", place).where(F.col("place") <= first)
+    counts = sample.groupBy(group).agg(F.count("*").alias("n"), *(F.count_if(speaks_of(F.col("text"), d)).alias(d) for d in DOMAIN_WORDS))
+    best = F.array_max(F.array(*(F.struct(F.col(d).alias("score"), F.lit(-k).alias("early"), F.lit(d).alias("domain")) for k, d in enumerate(DOMAIN_WORDS))))
+    return counts.select(group, "n", best.alias("b")).select(
+        group, F.when(F.col("b.score") > 0, F.col("b.domain")).otherwise("general").alias("domain"), (F.col("b.score") / F.col("n")).alias("share")
+    )

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import money, products, text
+from tessella.functions import inference, money, products, text
 from tessella.operators import catalog, matching, ordered, scoring
 
 
@@ -71,3 +71,29 @@ def test_scores_of_clean_and_empty_items(spark):
     df = spark.createDataFrame(items, "name string, price long, sku string, subtotal boolean, match_score double")
     got = [(r["status"], r["final_status"]) for r in scoring.scored(df, 0.8).collect()]
     assert got == [("matched", "auto_approved"), ("rejected", "failed"), ("review", "need_review"), ("skipped", "skipped")]
+
+
+def test_junk_is_lists_terms_and_long_texts_without_price_or_code(spark):
+    items = [("- Đèn", 5.0, "A-1"), ("3) Đèn", 5.0, "A-1"), ("3.5 m Đèn", 0.0, ""), ("BẢO HÀNH 2 năm", 0.0, None), ("Bảo hành 2 năm", 5.0, None), ("x" * 81, None, " "), ("x" * 80, None, " "), (None, None, None)]
+    df = spark.createDataFrame(items, "name string, cost double, sku string")
+    assert {r["name"] for r in catalog.without_junk(df).collect()} == {"3.5 m Đèn", "Bảo hành 2 năm", "x" * 80, None}
+
+
+def test_amounts_of_a_price_line(spark):
+    lines = ["Cổng âm sàn VULCAN 24V 41.900.000 19.765.000", "Thời gian giao hàng 03-05 ngày", "9.999 10.000 10,000 20000 30000", None, ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = df.orderBy("i").select(products.price_fields(products.money_values(F.col("line"))).alias("p")).select("p.*").collect()
+    assert [tuple(r) for r in got] == [(19_765_000, 41_900_000, 0), (0, 0, 0), (10_000, 30_000, 20_000), (0, 0, 0), (0, 0, 0)]
+
+
+def test_domain_of_a_group_takes_the_first_listed_of_equals(spark):
+    rows = [("a", 1, "ổ cắm"), ("a", 2, "Camera"), ("b", 1, "xyz"), ("b", 2, None), ("c", 1, "SOFA"), ("c", 2, "bàn")]
+    df = spark.createDataFrame(rows, "g string, i int, t string")
+    got = {r["g"]: (r["domain"], r["share"]) for r in scoring.detect_domain(df, "g", "i", F.col("t")).collect()}
+    assert got == {"a": ("smarthome", 0.5), "b": ("general", 0.0), "c": ("furniture", 1.0)}
+
+
+def test_roman_numbers_and_their_order(spark):
+    df = spark.createDataFrame([(0,), (4,), (9,), (10,), (23,), (None,)], "n int").select("n", inference.roman(F.col("n")).alias("r"))
+    got = df.select("r", inference.roman_order(F.concat("r", F.lit(". Đèn"))).alias("place")).collect()
+    assert [tuple(r) for r in got[:5]] == [("", 99), ("IV", 4), ("IX", 9), ("X", 10), ("XXIII", 99)]
