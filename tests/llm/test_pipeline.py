@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import mixing
@@ -41,3 +42,19 @@ def test_mix_stage_has_target_shares(spark):
     for s in share:
         assert abs(share[s] * len(mixed) - weights[s] / sum(weights.values()) * len(mixed)) < 3
     assert corpus_pipeline.mix_sources(spark, docs.where("false"), "").collect() == []
+
+
+def test_mixing_stage_keeps_every_document(spark):
+    """One tiny source doesn't end the mix; null ids, equal ids and sources without text stay."""
+    rows = [(i, "x" * 70_000, "hot" if i % 3 else "even") for i in range(60)] + [(100, "tiny", "tiny"), (None, "a", "even"), (None, "a", "even"), (None, "b", None), (7, "other", "hot"), (200, "", "blank"), (201, None, "blank")]
+    docs = documents(spark, rows)
+    mixing_stage = dict(corpus_pipeline.STAGES)["mixing"]
+    mixed = mixing_stage(spark, docs, "").collect()
+    assert sorted(map(repr, mixed)) == sorted(map(repr, docs.collect()))
+    assert {r["source"] for r in mixed[-2:]} == {"blank"}
+    weights = mixing.tempered_weights(docs, size=F.length("text"))
+    part = weights["hot"] / (weights["hot"] + weights["even"])
+    long = [r["source"] for r in mixed if len(r["text"] or "") > 100]
+    both = long[: len(long) - long[::-1].index("even")]  # up to the end of the smaller of the two
+    assert both.count("hot") < 40 and all(abs(both[:n].count("hot") - part * n) < 2.5 for n in range(1, len(both)))
+    assert mixing_stage(spark, docs.where("false"), "").collect() == []
