@@ -7,9 +7,11 @@ context of k bytes is (N(context, byte) + T * chance after the shorter context)
 figure is the difference of its two log-likelihoods divided by its length, and it
 passes at or above a threshold calibrated on labelled URLs kept out of the counts.
 
-The counts live in tables of a fixed number of hashed slots, so a model has the
-same size for any number of URLs: all labelled URLs are counted, in Spark, and one
-row a slot at most comes back.
+All labelled URLs are counted, each context and each context with a byte by itself:
+the counts are a Spark table with one row for each key of 64 bits, so nothing but
+equal hashes ever shares a count, and the driver holds none of them. URLs are scored
+in chunks of up to BATCH_ROWS rows. A chunk asks for the counts of each of its keys
+once, by a join, and gets back those that were seen.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import arrow_rows, mix, utf8
+from tessella.llm.common import arrow_rows, mix, stage, utf8
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
 RULES: list[Rule] = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-ORDER, SLOT_BITS, SMOOTHING, BINS, FOLDS = 5, 17, 2.0, 400, 5
+ORDER, SMOOTHING, BINS, FOLDS, BATCH_ROWS = 5, 2.0, 400, 5, 4096
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,7 +50,7 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def _grams(column: pa.Array, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of each byte (and of a final end byte), slots of its contexts and of context and byte, by context length."""
+    """Row of each byte (and of a final end byte), hashes of `bits` bits of its contexts and of context and byte, by context length."""
     flat, at = utf8(column)
     n = np.diff(at)
     size = n + order + 1  # `order` start bytes before and one end byte after
@@ -69,53 +72,82 @@ def _grams(column: pa.Array, order: int, bits: int) -> tuple[np.ndarray, np.ndar
     return row, context, both
 
 
-def fit(urls: DataFrame, order: int = ORDER, bits: int = SLOT_BITS) -> np.ndarray:
-    """Counts of contexts [0] and of contexts with a byte [1], of rejected [., 0] and accepted [., 1] URLs, from (text, label)."""
-    slots = 1 << bits
+def fit(urls: DataFrame, order: int = ORDER) -> DataFrame:
+    """key, n0, n1: how often rejected and accepted URLs of (text, label) have each context and each context with a byte."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, slots), dtype=np.int64)
         for batch in batches:
-            row, context, both = _grams(batch.column(0), order, bits)
+            row, context, both = _grams(batch.column(0), order, 64)
             label = batch.column(1).to_numpy(zero_copy_only=False)[row]
-            for v in (0, 1):
-                total[0, v] += np.bincount(context[:, label == v].ravel(), minlength=slots)
-                total[1, v] += np.bincount(both[:, label == v].ravel(), minlength=slots)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], names=["slot", "n"])
+            keys, at = np.unique(np.concatenate([context, both]), return_inverse=True)
+            of = np.tile(label, 2 * (order + 1))
+            counts = [np.bincount(at.ravel()[of == v], minlength=len(keys)) for v in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, counts)], names=["key", "n0", "n1"])
 
-    counted = urls.select("text", "label").mapInArrow(work, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = counted.toArrow()  # 4 * 2**bits rows at most
-    out = np.zeros(4 * slots, dtype=np.float64)
-    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(2, 2, slots)
+    found = urls.select("text", "label").mapInArrow(work, "key long, n0 long, n1 long")
+    return found.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def ratios(column: pa.Array, counts: np.ndarray, order: int, bits: int, smoothing: float) -> np.ndarray:
-    """Length-normalised log-likelihood of accepted less that of rejected."""
-    row, context, both = _grams(column, order, bits)
+def _ratio(row: np.ndarray, rows: int, context: list[np.ndarray], both: list[np.ndarray], smoothing: float) -> np.ndarray:
+    """Each row's ratio from the counts, by label, of the contexts of its bytes and of context and byte, by context length."""
     logs = []
     for v in (0, 1):
         chance = np.full(len(row), 1 / 258)
-        for k in range(order + 1):
-            chance = (np.minimum(counts[1, v][both[k]], counts[0, v][context[k]]) + smoothing * chance) / (counts[0, v][context[k]] + smoothing)
+        for seen, met in zip(context[v], both[v], strict=True):
+            chance = (np.minimum(met, seen) + smoothing * chance) / (seen + smoothing)
         logs.append(np.log(chance))
-    each = np.bincount(row, logs[1] - logs[0], minlength=len(column))
-    return each / np.maximum(np.bincount(row, minlength=len(column)), 1)
+    each = np.bincount(row, logs[1] - logs[0], minlength=rows)
+    return each / np.maximum(np.bincount(row, minlength=rows), 1)
 
 
-def scored(urls: DataFrame, counts: np.ndarray, order: int = ORDER, bits: int = SLOT_BITS, smoothing: float = SMOOTHING) -> DataFrame:
-    """All columns but `text`, and `ratio`."""
-    rest = [c for c in urls.columns if c != "text"]
-    model = urls.sparkSession.sparkContext.broadcast(counts.astype(np.float32))  # 4 * 2**bits numbers, whatever the data
+def ratios(column: pa.Array, counts: np.ndarray, order: int, bits: int, smoothing: float) -> np.ndarray:
+    """Length-normalised log-likelihood of accepted less that of rejected, from counts by hashes of `bits` bits."""
+    row, context, both = _grams(column, order, bits)
+    return _ratio(row, len(column), [counts[0, v][context] for v in (0, 1)], [counts[1, v][both] for v in (0, 1)], smoothing)
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """The rows, written once, with a `chunk`: at most an Arrow batch of rows has the same."""
+    names = [*rows.columns, "chunk"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for i, batch in enumerate(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, first + i))], names=names)
+
+    return stage(rows.mapInArrow(work, ", ".join(f"`{c}` {k}" for c, k in rows.dtypes) + ", chunk long"), "urls")
+
+
+def scored(urls: DataFrame, counts: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING) -> DataFrame:
+    """All columns of chunked URLs but `chunk` and `text`, and `ratio`, from the counts that fit() gives."""
+    rest = [c for c in urls.columns if c not in ("chunk", "text")]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = ratios(batch.columns[-1], model.value, order, bits, smoothing)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*rest, "ratio"])
+            of = batch.column(0).to_numpy()
+            for chunk in np.unique(of):
+                _, context, both = _grams(batch.column(1).filter(pa.array(of == chunk)), order, 64)
+                keys = np.unique(np.concatenate([context, both]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk)), pa.array(keys)], names=["chunk", "key"])
+
+    def work(rows: pa.Table, held: pa.Table) -> pa.Table:
+        row, context, both = _grams(rows.column("text"), order, 64)
+        keys = held.column("key").to_numpy()
+        by_key = np.argsort(keys)
+        # one more place, for keys that were never counted
+        keys, counts = keys[by_key], [np.append(held.column(n).to_numpy()[by_key], 0) for n in ("n0", "n1")]
+
+        def at(wanted: np.ndarray) -> np.ndarray:
+            i = np.searchsorted(keys, wanted)
+            return np.where(np.append(keys, 0)[i] == wanted, i, len(keys)) if len(keys) else np.zeros_like(i)
+
+        in_context, in_both = at(context), at(both)
+        found = _ratio(row, rows.num_rows, [n[in_context] for n in counts], [n[in_both] for n in counts], smoothing)
+        return rows.select(rest).append_column("ratio", pa.array(found))
 
-    plain = urls.select(*rest, "text")
-    return plain.mapInArrow(work, ", ".join(f"`{c}` {k}" for c, k in plain.select(*rest).dtypes) + ", ratio double")
+    held = urls.select("chunk", "text").mapInArrow(asked, "chunk long, key long").distinct().join(counts, "key")
+    kinds = ", ".join(f"`{c}` {k}" for c, k in urls.select(*rest).dtypes)
+    return urls.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(work, f"{kinds}, ratio double")
 
 
 def threshold(ratio_label: DataFrame) -> float:
@@ -145,14 +177,15 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     the counts there are. A null URL or one without '://' has an empty host and path
     and the ratio of an empty text. Repeated rows stay; an empty table gives none.
     """
-    arrow_rows(pages.sparkSession, 4096)
+    arrow_rows(pages.sparkSession, BATCH_ROWS)
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("decided"), F.concat("host", "path").alias("text"))
-    known = ruled.where("decided is not null").select("text", (F.col("decided") == "allow").cast("int").alias("label"))
-    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
-    counts = fit(known.where(fold != 0))
-    bound = threshold(scored(known.where(fold == 0), counts))
+    urls = _chunked(ruled.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS))))
+    label = (F.col("decided") == "allow").cast("int").alias("label")
+    counts = fit(urls.where("decided is not null and fold <> 0").select("text", label))
+    found = stage(scored(urls, counts), "ratios")
+    bound = threshold(found.where("decided is not null and fold = 0").select("ratio", label))
     by_model = F.when(F.col("ratio") >= bound, "allow").otherwise("block")
-    return scored(ruled, counts).select("page_id", "host", "path", "rule", F.coalesce("decided", by_model).alias("verdict"), "ratio")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("decided", by_model).alias("verdict"), "ratio")

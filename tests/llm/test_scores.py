@@ -206,3 +206,29 @@ def test_chances_add_up_to_one():
     total = sum(math.exp(-url_model.ratios(pa.array([chr(c)]), -counts * 0, 3, 20, 2.0)[0]) for c in range(97, 100))
     assert total == pytest.approx(3.0)
     assert url_model.ratios(texts, counts, 3, 20, 2.0).min() > 0
+
+
+def test_url_counts_are_exact(spark):
+    """With more contexts than any fixed table was made for, each ratio is that of counts in plain dicts."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(rng.randint(8, 30)))
+    rows = [(i, f"http://{word()}.{'com' if i % 3 == 0 else 'bad' if i % 3 == 1 else 'org'}/{word()}") for i in range(6000)] + [(6000, None), (6001, "http://\u00e9.com/\u00df")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    got = {r["page_id"]: r for r in url_model.judge(pages, rules=[("com", "/", "allow"), ("bad", "/", "block")]).collect()}
+    text = {i: (u or "").removeprefix("http://") for i, u in rows}
+    folds = {r["page_id"]: r["f"] for r in spark.createDataFrame(list(text.items()), "page_id long, t string").selectExpr("page_id", "pmod(xxhash64(t), 5) as f").collect()}
+    grams = lambda t: [(tuple(b[j - k : j]), b[j]) for b in [[0] * url_model.ORDER + [x + 2 for x in t.encode()] + [1]] for j in range(url_model.ORDER, len(b)) for k in range(url_model.ORDER + 1)]
+    seen, met = ({"allow": collections.Counter(), "block": collections.Counter()} for _ in range(2))
+    for i, t in text.items():
+        if got[i]["rule"] and folds[i]:
+            for context, byte in grams(t):
+                seen[got[i]["verdict"]][context] += 1
+                met[got[i]["verdict"]][context, byte] += 1
+    for i in [*range(0, 6000, 7), 6000, 6001]:
+        logs = dict.fromkeys(seen, 0.0)
+        for v in logs:
+            chance = 1 / 258
+            for context, byte in grams(text[i]):
+                chance = (met[v][context, byte] + url_model.SMOOTHING * (chance if context else 1 / 258)) / (seen[v][context] + url_model.SMOOTHING)
+                logs[v] += math.log(chance) if len(context) == url_model.ORDER else 0
+        assert got[i]["ratio"] == pytest.approx((logs["allow"] - logs["block"]) / (len(text[i].encode()) + 1), abs=1e-9), i
