@@ -40,20 +40,25 @@ def price_update(catalog: DataFrame, feed: DataFrame) -> DataFrame:
 def merge(catalog: DataFrame, incoming: DataFrame, key: Column, kept: tuple[str, ...] = ("name",), filled: tuple[str, ...] = ("cost", "supplier")) -> DataFrame:
     """The catalogue after an import: `kept` columns stay as they were, `filled` ones take new values that are not blank or 0; other rows are added.
 
-    Of incoming rows with equal keys each later one (`id`) overlays the earlier ones.
+    Of incoming rows with equal keys each later one (`id`) overlays the earlier ones. A blank or null key is equal to none:
+    each incoming row with one is added as it is, and catalogue rows with one are kept.
     """
     blank = lambda c: F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != "") & ~F.col(c).cast("string").isin("0", "0.0"), F.col(c))
     columns = (*kept, *filled)
-    new = incoming.select(key.alias("key"), "id", *columns).groupBy("key").agg(
+    coded = F.coalesce(F.col("key"), F.lit("")) != ""
+    old, given = catalog.withColumn("key", key), incoming.select(key.alias("key"), "id", *columns)
+    new = given.where(coded).groupBy("key").agg(
         F.max_by("id", "id").alias("new_id"), *(F.max_by(F.col(c), F.when(blank(c).isNotNull(), F.col("id"))).alias(f"new_{c}") for c in columns)
     )
-    both = catalog.withColumn("key", key).join(new, "key", "full_outer")
+    both = old.where(coded).join(new, "key", "full_outer")
     known = F.col("id").isNotNull()
-    return both.select(
+    merged = both.select(
         "key", F.coalesce("id", "new_id").alias("id"),
         *(F.when(known, F.col(c)).otherwise(F.col(f"new_{c}")).alias(c) for c in kept), *(F.coalesce(f"new_{c}", c).alias(c) for c in filled),
         F.when(~known, "added").when(F.col("new_id").isNotNull(), "updated").otherwise("kept").alias("action"),
     )
+    uncoded = lambda rows, action: rows.where(~coded).select("key", "id", *columns, F.lit(action).alias("action"))
+    return merged.unionByName(uncoded(old, "kept")).unionByName(uncoded(given, "added"))
 
 
 def without_junk(catalog: DataFrame) -> DataFrame:

@@ -61,6 +61,15 @@ def test_price_update_drops_blank_codes_and_takes_the_last_of_equal_ones(spark):
     assert got[" a-1"] == (2, "unchanged") and got["c"] == (None, "new") and len(got) == 3
 
 
+def test_merge_adds_each_row_without_a_code_and_tells_codes_apart(spark):
+    kind = "id int, sku string, name string, cost double, supplier string"
+    old = spark.createDataFrame([(1, "LM-1", "a", 10.0, "s"), (2, "LM1", "b", 20.0, "s"), (3, "", "c", 30.0, "s"), (4, None, "d", 40.0, "s")], kind)
+    new = spark.createDataFrame([(11, "lm-1", "x", 11.0, None), (12, "", "y", 12.0, "t"), (13, "", "z", 0.0, "t"), (14, None, "w", 14.0, "t"), (15, "N", "n", 15.0, "t"), (16, "n", "m", 0.0, "")], kind)
+    got = sorted((r["id"], r["cost"], r["supplier"], r["action"]) for r in catalog.merge(old, new, F.lower(F.col("sku"))).collect())
+    kept = [(2, 20.0, "s", "kept"), (3, 30.0, "s", "kept"), (4, 40.0, "s", "kept")]
+    assert got == [(1, 11.0, "s", "updated"), *kept, (12, 12.0, "t", "added"), (13, 0.0, "t", "added"), (14, 14.0, "t", "added"), (16, 15.0, "t", "added")]
+
+
 def test_bulk_percent_refuses_to_go_below_nothing(spark):
     with pytest.raises(ValueError, match="above -100"):
         catalog.bulk_percent(spark.createDataFrame([("a", 1.0)], "supplier string, cost double"), "a", -100)
