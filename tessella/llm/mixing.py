@@ -17,13 +17,16 @@ tasks.
 from __future__ import annotations
 
 import heapq
+import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import stage
 
-PERIOD, RANGE_ROWS = 10_000, 20_000
+#: The driver works out one period, of MOST_SLOTS slots at most unless there are more sources.
+PERIOD, MOST_SLOTS, RANGE_ROWS = 10_000, 1 << 20, 20_000
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -62,11 +65,23 @@ def pfair(parts: dict[str, int], period: int = PERIOD) -> list[tuple[str, int, i
     return out
 
 
-def tempered_weights(docs: DataFrame, power: float = 0.5, source_col: str = "source", size: Column | None = None) -> dict[str, float]:
-    """Each source's size to a power: below 1 it lifts small sources. One row a source comes to the driver."""
+def source_sizes(docs: DataFrame, source_col: str = "source", size: Column | None = None) -> dict[str, int]:
+    """Each source's size; sources without any are left out. One row a source comes to the driver."""
     size = F.lit(1) if size is None else size
-    rows = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("s")).agg(F.sum(size).cast("double").alias("n")).where("n > 0").limit(PERIOD + 1).collect()
-    return {r["s"]: r["n"] ** power for r in rows}
+    rows = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("s")).agg(F.sum(size).alias("n")).where("n > 0").collect()
+    return {r["s"]: r["n"] for r in rows}
+
+
+def tempered_weights(docs: DataFrame, power: float = 0.5, source_col: str = "source", size: Column | None = None) -> dict[str, float]:
+    """Each source's size to a power: below 1 it lifts small sources."""
+    return {s: float(n) ** power for s, n in source_sizes(docs, source_col, size).items()}
+
+
+def period_for(sizes: dict[str, int], weights: dict[str, float], block: int) -> int:
+    """A period as long as the slots that the sources' blocks take at these weights, between PERIOD and MOST_SLOTS; two slots a source at least."""
+    total = sum(weights.values())
+    last = max((math.ceil(sizes[s] / block) * total / w for s, w in weights.items() if w > 0 and s in sizes), default=0)
+    return max(PERIOD, 2 * len(weights), math.ceil(min(last, MOST_SLOTS)))
 
 
 def schedule(
@@ -101,7 +116,9 @@ def schedule(
 
     parts = shares(weights, period)
     # One period at most: `period` rows by construction, whatever the data.
-    table = spark.createDataFrame(pfair(parts, period) or [], "source string, k long, r0 long, d0 long, s0 long")
+    kinds = {"source": pa.string(), "k": pa.int64(), "r0": pa.int64(), "d0": pa.int64(), "s0": pa.int64()}
+    columns = list(zip(*pfair(parts, period))) or [()] * len(kinds)
+    table = spark.createDataFrame(pa.table({c: pa.array(v, k) for (c, k), v in zip(kinds.items(), columns, strict=True)}))
     sizes = spark.createDataFrame(list(parts.items()), "source string, p long").where("p > 0")
     ends = ranged.groupBy("source").agg(F.sum("units").alias("n")).join(sizes, "source")
     # the slot of the first block that a source does not have any more
@@ -110,7 +127,7 @@ def schedule(
     placed = (
         blocks.join(F.broadcast(sizes), "source", "left")
         .withColumns({"k": F.col("block_no") % F.col("p"), "cycle": F.floor(F.col("block_no") / F.col("p")) * period})
-        .join(F.broadcast(table), ["source", "k"], "left")
+        .join(F.broadcast(table) if period <= 10 * PERIOD else table, ["source", "k"], "left")
     )
     at = lambda c: (F.col("cycle") + F.col(c)).cast("long")
     slot = at("s0")

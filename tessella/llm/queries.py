@@ -50,7 +50,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of 65,536 characters; each source weighs as the square root of its size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("size"))
     docs = stage(docs, "sizes")
-    return mixing.schedule(docs, mixing.tempered_weights(docs, size=F.col("size")), 65_536, size=F.col("size"))
+    weights = mixing.tempered_weights(docs, size=F.col("size"))
+    period = mixing.period_for(mixing.source_sizes(docs, size=F.col("size")), weights, 65_536)
+    return mixing.schedule(docs, weights, 65_536, period, size=F.col("size"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

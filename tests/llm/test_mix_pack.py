@@ -58,6 +58,29 @@ def test_mix_matches_plain_version(spark):
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in got if r["slot"] is not None)
 
 
+def test_schedule_keeps_to_the_true_weights():
+    """Over the whole schedule, longer than the shortest period, no source is two blocks away from its weight."""
+    rng = random.Random(8)
+    sizes = {f"s{i}": rng.randint(1, 4000) for i in range(60)} | {"hot": 40_000, "one": 1}
+    weights = {s: n**0.5 for s, n in sizes.items()}
+    period = mixing.period_for(sizes, weights, 1)
+    assert period > 10 * mixing.PERIOD
+    total, done, worst = sum(weights.values()), dict.fromkeys(sizes, 0), 0.0
+    for i, (source, *_, slot) in enumerate(sorted(mixing.pfair(mixing.shares(weights, period), period), key=lambda x: x[4])):
+        done[source] += 1
+        if i % 97 == 0:
+            worst = max(worst, *(abs(done[s] - (slot + 1) * weights[s] / total) for s in sizes))
+    assert worst < 2
+
+
+def test_more_sources_than_the_shortest_period(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 10_500}") for i in range(11_000)], "doc_id long, source string")
+    sizes, weights = mixing.source_sizes(docs), mixing.tempered_weights(docs)
+    assert len(weights) == 10_500
+    got = mixing.schedule(docs, weights, 1, mixing.period_for(sizes, weights, 1))
+    assert got.where("slot is null").count() == 0 and got.select("slot").distinct().count() == 11_000
+
+
 def test_mix_of_nothing(spark):
     docs = documents(spark, [(1, "a")]).where("false")
     assert mixing.tempered_weights(docs) == {}
