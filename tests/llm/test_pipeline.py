@@ -33,6 +33,15 @@ def test_near_duplicate_stage_keeps_the_first(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_different_texts_of_one_id_are_told_apart(spark):
+    a, b = prose(20, 120), prose(21, 120)
+    rows = [(8, a), (8, b), (8, b), (8, None), (9, edited(b, 1, 1)), (5, edited(a, 2, 1)), (12, prose(22, 90))]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept if r["text"] is None or r["doc_id"] in (5, 12)) == [5, 8, 12]
+    rest = [(r["doc_id"], r["text"]) for r in kept if r["text"] is not None and r["doc_id"] not in (5, 12)]
+    assert len(rest) == 1 and rest[0] in [(8, b), rows[4]]  # one of the two copies of b; a goes as 5 is its copy
+
+
 def test_mix_stage_has_target_shares(spark):
     rows = [(i, "x" * 70_000, "hot" if i % 3 else f"s{i % 6}") for i in range(120)]
     docs = documents(spark, rows)
