@@ -4,8 +4,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, packing
-from tests.llm.helpers import documents
+from tessella.llm import mixing, packing, queries
+from tests.llm.helpers import documents, edited, prose
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 40])
@@ -139,3 +139,15 @@ def test_packing_places_every_token_once(spark):
         held = [cluster[d] for d in ids if cluster[d] is not None]
         assert len(held) == len(set(held))
     assert packing.best_fit(items.where("false")).collect() == []
+
+
+def test_near_copies_never_share_a_sequence(spark, tmp_path):
+    bases = [prose(i, 100) for i in range(3)]
+    texts = [edited(bases[i % 3], i, 1) for i in range(12)] + [bases[0], bases[0], None, ""]
+    documents(spark, [(i if i != 13 else None, t, f"s{i}") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    bins = defaultdict(list)
+    for r in queries.op6_packing(spark, str(tmp_path)).collect():
+        bins[r["bin_id"]].append(13 if r["doc_id"] is None else r["doc_id"])
+    group = lambda i: i % 3 if i < 12 else 0 if i < 14 else "blank"
+    assert sorted(i for held in bins.values() for i in held) == list(range(16))
+    assert all(len({group(i) for i in held}) == len(held) for held in bins.values()) and len(bins) == 6
