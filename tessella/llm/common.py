@@ -7,6 +7,7 @@ so a lost executor never takes the only copy of an intermediate table with it.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +22,16 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 #: Bytes of text that a hashing kernel works on at once.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows handed to Python at once, whatever their number.
+ARROW_BYTES = 64 << 20
+#: Longer words are hashed one by one.
+LONG_SPAN = 64
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of this session's Python stages."""
+    """Bound the Arrow batches of this session's Python stages, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     there = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(there)
@@ -66,22 +74,6 @@ def seeds(n: int, salt: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    size = 1 << max(16, int(n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        up, down = np.full(size, BASE), np.full(size, BASE_INVERSE)
-        up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers[size]
-
-
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
@@ -130,16 +122,53 @@ def word_spans(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, at)
 
 
+def blocks(flat: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.concatenate([flat, np.zeros(8, np.uint8)])
+    return np.ndarray((len(flat) + 1,), "<u8", padded, strides=(1,))
+
+
+#: Keeps the first k bytes of eight.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span. Eight bytes a round go through a mixing that is not linear; long spans are hashed by BLAKE2b."""
+    size, at = ends - starts, blocks(flat)
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    todo = np.arange(len(size))
+    for k in range(0, LONG_SPAN, 8):
+        if k:
+            todo = todo[size[todo] > k]
+        if not len(todo):
+            break
+        left = np.minimum(size[todo] - k, 8)
+        out[todo] = mix((out[todo] ^ (at[starts[todo] + k] & KEEP[left])) * np.uint64(0x9FB21C651E98DF25) + np.uint64(k + 1))
+    for i in np.flatnonzero(size > LONG_SPAN):
+        out[i] = int.from_bytes(hashlib.blake2b(flat[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the same bytes as the span whose number `other` gives for it."""
+    size, at = ends - starts, blocks(flat)
+    if (size != size[other]).any():
+        return False
+    todo, k = np.arange(len(size)), 0
+    while len(todo := todo[size[todo] > k]):
+        if len(todo) < 8:  # the few long ones as bytes
+            return all(np.array_equal(flat[starts[i] + k : ends[i]], flat[starts[j] + k : ends[j]]) for i, j in zip(todo, other[todo], strict=True))
+        keep = KEEP[np.minimum(size[todo] - k, 8)]
+        if ((at[starts[todo] + k] ^ at[starts[other[todo]] + k]) & keep).any():
+            return False
+        k += 8
+    return True
+
+
 def word_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word with A-Z lower-cased, and the first word of each row."""
     starts, ends, first = word_spans(flat, at)
-    if not len(starts):
-        return np.zeros(0, np.uint64), first
-    up, down = powers(len(flat) + 1)
-    sums = np.zeros(len(flat) + 1, dtype=np.uint64)
-    np.cumsum((LOWER[flat].astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * down[starts]
-    return mix(value + (ends - starts).astype(np.uint64)), first
+    return span_hashes(LOWER[flat], starts, ends), first
 
 
 def windows(words: np.ndarray, first: np.ndarray, width: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -3,8 +3,9 @@
 Byte-level BPE works inside the matches of its splitting pattern, and a match
 never reaches over the end of a word that white space follows, nor from a letter
 to punctuation after it. So the ids of a text are the ids of its pieces, cut at
-those places, one after another. Pieces are found and hashed with numpy; each
-distinct one is encoded by the tokenizer once a worker and then looked up. Texts
+those places, one after another. Pieces are found and told apart with numpy, by a
+hash and then by their bytes; each distinct one is encoded by the tokenizer once a
+worker and then looked up by its bytes. Texts
 with other white space than blank, tab and line ends, or with the string of an
 added token, are encoded whole.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessella.llm.common import arrow_rows, mix, powers, slices
+from tessella.llm.common import arrow_rows, same_spans, slices, span_hashes
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 13, 32]] = True
@@ -37,6 +38,8 @@ PUNCTUATION[48:58] = False
 RARE = re.compile(rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf")
 #: Pieces that a worker keeps: about 50 MB. Those of the last KEPT / 2 new or old ones met stay known.
 KEPT = 250_000
+#: Bytes of a piece; longer ones are encoded each time.
+LONGEST = 200
 
 
 def default_path() -> str:
@@ -53,8 +56,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
-        self.known: dict[int, bytes] = {}
-        self.before: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         head = self.tokenizer.to_str().partition('"model"')[0]
         special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -65,29 +68,31 @@ class Encoder:
         code = "H" if self.kind.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, flat: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    def _pieces(self, flat: np.ndarray, at: np.ndarray) -> list[np.ndarray] | None:
+        """The ids of each text; None where hashes can't tell two pieces apart."""
         begins = np.zeros(len(flat) + 1, dtype=bool)
         white = WHITE[flat]
         begins[1:-1] = (white[1:] & ~white[:-1]) | (LETTER[flat[:-1]] & PUNCTUATION[flat[1:]])
         begins[at] = True
         starts = np.flatnonzero(begins[:-1])
         ends = np.append(starts[1:], len(flat))
-        up, down = powers(len(flat) + 1)
-        sums = np.zeros(len(flat) + 1, dtype=np.uint64)
-        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
-        codes, names = pd.factorize(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        codes, names = pd.factorize(span_hashes(flat, starts, ends))
         first = np.empty(len(names), dtype=np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        keys = names.tolist()
+        if not same_spans(flat, starts, ends, first[codes]):
+            return None  # unlike pieces with equal hashes
+        text = flat.tobytes()
+        keys = [text[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         found = list(map(self.known.get, keys))
         missed = [k for k, ids in enumerate(found) if ids is None]
         for k in missed:
             found[k] = self.before.get(keys[k])
         new = [k for k in missed if found[k] is None]
-        text = flat.tobytes()
-        for k, ids in zip(new, self._encode([text[starts[first[k]] : ends[first[k]]].decode() for k in new]), strict=True):
+        for k, ids in zip(new, self._encode([keys[k].decode() for k in new]), strict=True):
             found[k] = ids
         for k in missed:
+            if len(keys[k]) > LONGEST:
+                continue
             if len(self.known) >= self.kept // 2:
                 self.known, self.before = {}, self.known
             self.known[keys[k]] = found[k]
@@ -104,8 +109,9 @@ class Encoder:
         """An array of ids for each text of a string column; a null has those of an empty text."""
         for _, flat, at in slices(column):
             text = flat.tobytes()
-            whole = range(len(at) - 1) if not self.by_piece else {int(np.searchsorted(at, m.start(), side="right")) - 1 for m in self.whole.finditer(text)}
-            out = self._pieces(flat, at) if self.by_piece and len(flat) else [np.zeros(0, self.kind)] * (len(at) - 1)
+            out = self._pieces(flat, at) if self.by_piece and len(flat) else None
+            whole = range(len(at) - 1) if out is None else {int(np.searchsorted(at, m.start(), side="right")) - 1 for m in self.whole.finditer(text)}
+            out = out or [np.zeros(0, self.kind)] * (len(at) - 1)
             for k in whole:
                 out[k] = np.frombuffer(self._encode([text[at[k] : at[k + 1]].decode()])[0], self.kind)
             yield from out

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -153,19 +154,35 @@ def test_toxicity_learns_words_and_stems(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r["predicted"] for r in got.values())
 
 
-def test_grammar_weighs_clauses():
+def test_grammar_marks_clauses():
+    """The composed machine against a plain reading of every clause of up to five words."""
     machine = toxicity.grammar()
-
-    def run(*classes):
-        state = out = 0
-        for c in classes:
-            state, w = machine.step(state, c)
-            out += w
-        return out
-
     O, I, H, T, N, R = toxicity.OTHER, toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT  # noqa: E741
-    assert run(T, O, I) > run(I) > run(R, O, I) > run(R, N, I)
-    assert run(N, O, O, O, O, I) == run(I) and run(T, H) > run(H)
+
+    def plain(c):
+        hits = [k for k, x in enumerate(c) if x in (I, H)]
+        near = any(T in c[max(0, k - 5) : k] or T in c[k + 1 : k + 3] for k in hits)
+        negated, reported = any(N in c[max(0, k - 3) : k] for k in hits), any(R in c[:k] for k in hits)
+        threat = H in c and (near or I not in c)
+        return 8 * threat + 4 * near + 2 * negated + reported
+
+    for n in range(1, 6):
+        for c in itertools.product(range(6), repeat=n):
+            assert toxicity.match(machine, list(c), [1.0] * n) == (plain(list(c)), n), c
+    rng = random.Random(2)
+    for _ in range(3000):
+        c = [rng.choice([O, O, O, O, I, H, T, N, R]) for _ in range(rng.randint(6, 14))]
+        assert toxicity.match(machine, c, [0.0] * len(c))[0] == plain(c), c
+
+
+def test_calibration_learns_patterns():
+    """Rows whose one clause pattern is always innocent get a weight near 0 for it, others keep theirs."""
+    rng = np.random.default_rng(5)
+    x, y = np.zeros((600, 16)), np.zeros(600)
+    x[:200, 0], y[:200] = rng.uniform(3, 6, 200), 1
+    x[200:400, 1] = rng.uniform(3, 6, 200)
+    offset, weights = toxicity.calibrate(x, y)
+    assert weights[0] > 0.5 > 0.15 > weights[1] and weights[9] == toxicity.PRIOR[9] and offset < -1
 
 
 @pytest.mark.parametrize(

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessella.llm import dac, rollups, tokens
+from tessella.llm import common, dac, rollups, tokens
 from tests.llm.helpers import corpus, documents
 
 TOKENIZER = Tokenizer.from_file(tokens.default_path())
@@ -30,6 +30,31 @@ def test_encoder_on_odd_texts():
     assert [x.tolist() for x in _shared(pa.array(ODD))] == [TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in ODD]
 
 
+def thue_morse(n):
+    word = "ab"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_unlike_words_are_told_apart():
+    """A word and its complement have equal polynomial hashes modulo 2**64, whatever the base."""
+    a = thue_morse(1024)
+    pair = ["z " + a, "z " + a.translate(str.maketrans("ab", "ba")), "z " + a[:40], "z " + a[:41]]
+    encode = tokens.Encoder(tokens.default_path())
+    assert [x.tolist() for x in encode(pa.array(pair))] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in pair]
+    (_, flat, at), = common.slices(pa.array(pair))
+    assert len(set(common.word_hashes(flat, at)[0].tolist())) == 5
+
+
+def test_spans_are_compared_by_bytes(monkeypatch):
+    """With a hash that is the same for all, pieces are still encoded right."""
+    monkeypatch.setattr(tokens, "span_hashes", lambda flat, starts, ends: np.zeros(len(starts), np.uint64))
+    encode = tokens.Encoder(tokens.default_path())
+    texts = ["ab cd ef", "ab ab", "x" * 100, ""]
+    assert [x.tolist() for x in encode(pa.array(texts))] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 511, 512, 513, 3000])
 @pytest.mark.parametrize("widths", [(9, 7), (8,), (3, 2), (31,)])
 def test_segment_round_trip(n, widths):
