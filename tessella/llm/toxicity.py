@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import LOWER, arrow_rows, mix, slices, span_hashes, stage
@@ -209,8 +209,8 @@ def learn_lexicons(texts: DataFrame) -> list[Model]:
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     whole = F.struct((n("f0.docs1") + n("f1.docs1")).alias("docs1"), (n("f0.docs0") + n("f1.docs0")).alias("docs0"), n("f0.neighbours").bitwiseOR(n("f1.neighbours")).alias("neighbours"))
     halves = {"all": (0, 1), "f0": (0,), "f1": (1,)}
-    tried, columns, floor = Observation(), [], 10.0
-    counted = both.withColumn("all", whole).observe(tried, F.count(F.lit(1)).alias("n"))
+    columns, floor = [], 10.0
+    counted = both.withColumn("all", whole)
     for name, folds in halves.items():
         n1, n0 = (sum(totals.get((v, f), 0) for f in folds) for v in (1, 0))
         if not n1 or not n0:
@@ -224,10 +224,12 @@ def learn_lexicons(texts: DataFrame) -> list[Model]:
         gain = m1 * F.log(share / p) + m0 * F.log((1 - share) / (1 - p))
         weight = F.least(F.log(share / (1 - share)) - F.lit(float(np.log(p / (1 - p)))), F.lit(8.0))
         columns.append(F.when((share > max(0.5, 2 * p)) & (gain > floor), F.struct(gain.alias("gain"), weight.alias("weight"))).alias(name))
-    rows = counted.select("term", *columns).where("all is not null or f0 is not null or f1 is not null").collect()
+    found = counted.select("term", *columns).withColumn("term", F.when(F.coalesce("all", "f0", "f1").isNotNull(), F.col("term")))
+    # the terms that come to nothing are one row, which says how many were tried
+    rows = found.groupBy("term").agg(*(F.max(name).alias(name) for name in halves), F.count("*").alias("n")).collect()
     # a term by chance has a gain of at most about the log of the number of terms tried
-    bar = max(floor, float(np.log(max(tried.get["n"], 1))) + 0.6)
-    return [_lexicon({r["term"] & (1 << 64) - 1: r[name]["weight"] for r in rows if r[name] and r[name]["gain"] > bar}) for name in halves]
+    bar = max(floor, float(np.log(max(sum(r["n"] for r in rows), 1))) + 0.6)
+    return [_lexicon({r["term"] & (1 << 64) - 1: r[name]["weight"] for r in rows if r["term"] is not None and r[name] and r[name]["gain"] > bar}) for name in halves]
 
 
 def evidence(docs: DataFrame, models: list[Model]) -> DataFrame:
