@@ -5,13 +5,16 @@ that occurs in another document, times 0.4 for every order that had to be given
 up; a word of no other document counts as one occurrence. A document's own
 n-grams are taken out of the counts, or each would be its own evidence.
 
-The count table is partitioned by ranges of a 48-bit hash of order and n-gram.
-Documents are dealt by a hash of their id into batches of about `BATCH_WORDS`
-words. A batch explodes its n-grams, counts them (so a frequent n-gram leaves a
-batch once, whatever its share of the corpus) and sends each hash range its keys
-and counts; the range adds up the counts of all batches and answers each batch in
-the order of its keys; the answers are joined to the batch's n-grams and summed by
-document. Keys travel as differences of sorted numbers, four bytes each.
+Rows of a partition that follow each other form chunks of about `CHUNK_WORDS` words.
+A chunk's n-grams are exploded and counted in the chunk first, so a frequent n-gram
+leaves it once, whatever its share of the corpus. An n-gram's key is a 47-bit hash
+of order and words; its upper bits, the bucket, partition the count table, a
+DataFrame of (bucket, rest, total). N-grams of two chunks or more are joined to
+their totals, and the totals go back to the chunk, where they are joined to the
+n-grams and summed by document. The table is made level by level: an n-gram of three
+words or more can only occur elsewhere if both of its shorter ones do, so only those
+are counted. That is exact. Between stages the n-grams of a chunk and bucket travel
+as arrays in one row, a few bytes each.
 """
 
 from __future__ import annotations
@@ -21,59 +24,127 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm.common import arrow_rows, mix, slices, windows, word_hashes, word_spans
 
-ORDER, BACKOFF, BATCH_WORDS, PART_KEYS = 3, 0.4, 600_000, 2_500_000
-KEY_BITS = 48
-
-
-def _keys(column: pa.Array, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each order the keys of all n-grams and the places of their last words; and each row's first word."""
-    words, firsts, base = [], [np.zeros(1, np.int64)], 0
-    for _, flat, at in slices(column):
-        w, first = word_hashes(flat, at)
-        words.append(w)
-        firsts.append(first[1:] + base)
-        base += len(w)
-    word, first = np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate(firsts)
-    out = []
-    for k in range(1, order + 1):
-        runs, starts = windows(word, first, k, short=False)
-        n = np.diff(starts)
-        place = np.repeat(first[:-1] + k - 1, n) + np.arange(len(runs)) - np.repeat(starts[:-1], n)
-        out.append((mix(runs + np.uint64(k)) >> np.uint64(64 - KEY_BITS), place))
-    return out, first
-
-
-def _coded(keys: np.ndarray) -> bytes:
-    """Sorted numbers as a width byte and differences of that width."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    wide = len(steps) and int(steps.max()) >> 32
-    return (b"\x08" if wide else b"\x04") + steps.astype("<u8" if wide else "<u4").tobytes()
-
-
-def _decoded(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1), dtype=np.uint64)
+ORDER, BACKOFF, CHUNK_WORDS, PART_KEYS = 3, 0.4, 2_000_000, 1_200_000
+#: Bits of a key that name its bucket; 32 more follow.
+BUCKET_BITS = 15
+QUESTION = "bucket int, chunk long, rest array<int>, n array<long>"
 
 
-def _counts(n: np.ndarray) -> tuple[bytes, bytes]:
-    """Low bytes of all counts; places and values of those that need more."""
-    big = np.flatnonzero(n > 255)
-    return n.astype(np.uint8).tobytes(), np.concatenate([big, n[big]]).astype("<u8").tobytes()
+def _chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
+    """(chunk, payload): runs of rows as compressed Arrow streams of doc_id and text; a chunk closes once it has its words."""
 
-
-def _uncounted(low: bytes, big: bytes) -> np.ndarray:
-    n = np.frombuffer(low, np.uint8).astype(np.int64)
-    place, value = np.frombuffer(big, "<u8").astype(np.int64).reshape(2, -1)
-    n[place] = value
-    return n
-
-
-def _bounds(parts: int) -> np.ndarray:
-    return np.array([(p << KEY_BITS) // parts for p in range(parts + 1)], dtype=np.uint64)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            words = np.concatenate([np.zeros(0, np.int64), *(np.diff(word_spans(flat, at)[2]) for _, flat, at in slices(batch.column(1)))])
+            i = 0
+            while i < len(batch):
+                n = int(np.searchsorted(held + np.cumsum(words[i:]), chunk_words)) + 1
+                piece = batch.slice(i, n)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in piece.columns], schema=piece.schema))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "payload"])
+                held += int(words[i : i + n].sum())
+                i += n
+                if held >= chunk_words:
+                    chunk, held = chunk + 1, 0
+
+    return docs.mapInArrow(work, "chunk long, payload binary")
+
+
+def _rows(table: pa.Table) -> pa.Table:
+    """The documents of a chunk."""
+    # payloads in an order of their own, so that rows come in the same order each time
+    return pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in sorted(table["payload"].to_pylist())).combine_chunks()
+
+
+class _Words:
+    """Word hashes of a chunk's documents, and their n-grams."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        words, firsts, base = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+        for _, flat, at in slices(column):
+            w, first = word_hashes(flat, at)
+            words.append(w)
+            firsts.append(first[1:] + base)
+            base += len(w)
+        self.hashes, self.first = np.concatenate(words), np.concatenate(firsts)
+        self.row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all n-grams of k words and the places of their last words."""
+        runs, starts = windows(self.hashes, self.first, k, short=False)
+        n = np.diff(starts)
+        place = np.repeat(self.first[:-1] + k - 1, n) + np.arange(len(runs)) - np.repeat(starts[:-1], n)
+        return mix(runs + np.uint64(k)) >> np.uint64(32 - BUCKET_BITS), place
+
+    def open_grams(self, k: int, elsewhere: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Those that may occur in another document: both of their shorter n-grams do."""
+        keys, place = self.grams(k)
+        if k > 2:
+            seen = elsewhere[k - 1] > 0
+            at = np.flatnonzero(seen[place] & seen[place - 1])
+            keys, place = keys[at], place[at]
+        return keys, place
+
+    def elsewhere(self, totals: tuple[np.ndarray, np.ndarray], most: int) -> dict[int, np.ndarray]:
+        """By order, and by place of the last word, how often an n-gram occurs in other documents; totals are (sorted keys, counts) of keys that other chunks have too."""
+        out: dict[int, np.ndarray] = {}
+        for k in range(1, most + 1):
+            keys, place = self.open_grams(k, out)
+            code, names = pd.factorize(keys)
+            count = np.bincount(code, minlength=len(names))
+            if len(totals[0]) and len(names):
+                at = np.minimum(np.searchsorted(totals[0], names), len(totals[0]) - 1)
+                count = np.where(totals[0][at] == names, totals[1][at], count)
+            left = count[code]
+            # what the document itself has; a total of one is its own
+            many = np.flatnonzero(left > 1)
+            pair, _ = pd.factorize(code[many] * len(self.first) + self.row[place[many]])
+            own = np.ones(len(left), np.int64)
+            own[many] = np.bincount(pair, minlength=1)[pair] if len(pair) else 0
+            out[k] = np.zeros(len(self.row), np.int64)
+            out[k][place] = left - own
+        return out
+
+
+def _question(chunk: int, keys: np.ndarray) -> pa.Table:
+    """One row a bucket with the rests of the chunk's distinct keys and how often each occurs."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("rest", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+    keys, n = np.unique(keys, return_counts=True)
+    bucket, at = np.unique(keys >> np.uint64(32), return_index=True)
+    at = pa.array(np.append(at, len(keys)), pa.int32())
+    rest = pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+    lists = [pa.ListArray.from_arrays(at, rest), pa.ListArray.from_arrays(at, pa.array(n, pa.int64()))]
+    return pa.Table.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), chunk)), *lists], schema=schema)
+
+
+def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    size = table["rest"].combine_chunks().value_lengths().to_numpy()
+    key = np.repeat(table["bucket"].to_numpy().astype(np.uint64) << np.uint64(32), size) | table["rest"].combine_chunks().flatten().to_numpy().view(np.uint32).astype(np.uint64)
+    order = np.argsort(key)
+    return key[order], table["total"].combine_chunks().flatten().to_numpy()[order]
+
+
+def _counted(questions: DataFrame, parts: int, chunk_parts: int) -> DataFrame:
+    """(bucket, chunk, rest, total): the corpus totals of those n-grams of each chunk that another chunk has too."""
+    packed = questions.repartition(parts, "bucket")
+    grams = packed.select("bucket", "chunk", F.inline(F.arrays_zip("rest", "n")))
+    # the count table; an n-gram of one chunk needs no row, as the chunk has counted it
+    counts = grams.groupBy("bucket", "rest").agg(F.sum("n").alias("total"), F.count("*").alias("chunks")).where("chunks > 1").drop("chunks")
+    shared = grams.select("bucket", "chunk", "rest").join(counts.hint("shuffle_hash"), ["bucket", "rest"])
+    answers = shared.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("rest", "total")).alias("a"))
+    return answers.select("bucket", "chunk", F.col("a.rest").alias("rest"), F.col("a.total").alias("total")).repartition(chunk_parts, "chunk")
 
 
 def _number_of_words(docs: DataFrame) -> int:
@@ -84,85 +155,60 @@ def _number_of_words(docs: DataFrame) -> int:
     return docs.select("text").mapInArrow(work, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def _log_scores(table: dict[int, np.ndarray], rows: np.ndarray, first: np.ndarray, total: int, order: int, backoff: float) -> np.ndarray:
-    """Log-score of every word, from counts by order and place of last word (0: not seen elsewhere)."""
-    n = len(rows)
-    place = np.arange(n) - first[:-1][rows]  # place in the document
-    others = (total - np.diff(first))[rows].astype(np.float64)
-    score = np.maximum(table[1], 1) / np.maximum(others, 1)
-    used = np.ones(n, dtype=np.int64)
+def _log_scores(elsewhere: dict[int, np.ndarray], words: _Words, total: int, order: int, backoff: float) -> np.ndarray:
+    """Log-score of every word, from counts in other documents by order and place of last word."""
+    place = np.arange(len(words.row)) - words.first[:-1][words.row]  # place in the document
+    others = (total - np.diff(words.first))[words.row].astype(np.float64)
+    score = np.maximum(elsewhere[1], 1) / np.maximum(others, 1)
+    used = np.ones(len(place), dtype=np.int64)
     for k in range(2, order + 1):
-        at = np.flatnonzero(table[k] > 0)
-        score[at] = table[k][at] / table[k - 1][at - 1]
+        at = np.flatnonzero(elsewhere[k] > 0)
+        score[at] = elsewhere[k][at] / elsewhere[k - 1][at - 1]
         used[at] = k
     return np.log(score) + np.log(backoff) * (np.minimum(place + 1, order) - used)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, batch_words: int = BATCH_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """doc_id, n_words, log_score (sum over words, natural log), score (its mean) for every row.
 
     Words are runs of anything but white space, A-Z lower-cased. A null or blank
     text has no words, log_score 0 and a null score. Rows are documents of their
     own, also with equal or null ids. In a corpus of one document nothing is seen
     elsewhere, so each word scores as one occurrence in one. An empty table gives
-    no rows. Other columns are ignored.
+    no rows. Other columns are ignored. N-grams are told apart by 47 bits of a hash:
+    of two million words that no other document has, about one in half a gigabyte of text
+    is taken for another.
     """
     arrow_rows(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = _number_of_words(plain)
-    batches, parts = max(1, -(-total // batch_words)), max(1, -(-2 * total // PART_KEYS))
-    dealt = plain.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    kind = plain.dtypes[0][1]
+    chunk_parts, parts = max(1, -(-2 * total // chunk_words)), max(1, -(-total // PART_KEYS))
+    texts = _chunks(plain, chunk_words).repartition(chunk_parts, "chunk")
+    result = pa.schema([("doc_id", to_arrow_type(plain.schema["doc_id"].dataType)), ("n_words", pa.int64()), ("log_score", pa.float64()), ("score", pa.float64())])
+
+    def first_question(table: pa.Table) -> pa.Table:
+        words = _Words(_rows(table)["text"])
+        return _question(table["chunk"][0].as_py(), np.concatenate([words.grams(k)[0] for k in range(1, min(order, 2) + 1)]))
 
-    def ask(table: pa.Table) -> pa.Table:
-        found, _ = _keys(table["text"], order)
-        keys, n = np.unique(np.concatenate([k for k, _ in found]), return_counts=True)
-        cut = np.searchsorted(keys, _bounds(parts))
-        rows = [(table["batch"][0].as_py(), p, _coded(keys[a:b]), *_counts(n[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-        return pa.Table.from_pylist([dict(zip(asked.names, r, strict=True)) for r in rows], asked)
-
-    def answer(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("batch").to_pylist()
-        keys = [_decoded(r["keys"]) for r in rows]
-        code, names = pd.factorize(np.concatenate(keys))
-        n = np.bincount(code, np.concatenate([_uncounted(r["low"], r["big"]) for r in rows]).astype(np.float64), len(names)).astype(np.int64)
-        at = np.cumsum([0, *map(len, keys)])
-        out = [(r["batch"], r["part"], *_counts(n[code[a:b]])) for r, a, b in zip(rows, at, at[1:])]
-        return pa.Table.from_pylist([dict(zip(answered.names, r, strict=True)) for r in out], answered)
+    def next_question(k: int):
+        def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
+            words = _Words(_rows(table)["text"])
+            return _question(table["chunk"][0].as_py(), words.open_grams(k, words.elsewhere(_totals(answers), k - 1))[0])
+
+        return ask
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(table):
-            return pa.Table.from_pylist([], result)
-        found, first = _keys(table["text"], order)
-        rows = np.repeat(np.arange(len(table)), np.diff(first))
-        code, names = pd.factorize(np.concatenate([k for k, _ in found]))
-        n = np.empty(len(names), dtype=np.int64)
-        got = answers.sort_by("part").to_pylist()
-        if got:
-            n[np.argsort(names)] = np.concatenate([_uncounted(r["low"], r["big"]) for r in got])
-        tables, at = {}, 0
-        for k, (keys, place) in enumerate(found, 1):
-            here = code[at : at + len(keys)]
-            at += len(keys)
-            count = n[here]
-            # what the document itself has of an n-gram; one that occurs once is its own
-            many = np.flatnonzero(count > 1)
-            pair, _ = pd.factorize(here[many].astype(np.int64) * len(table) + rows[place[many]])
-            count[count == 1] = 0
-            count[many] -= np.bincount(pair, minlength=1)[pair] if len(pair) else 0
-            tables[k] = np.zeros(len(rows), dtype=np.int64)
-            tables[k][place] = count
-        each = _log_scores(tables, rows, first, total, order, backoff)
-        n_words = np.diff(first)
-        log_score = np.bincount(rows, each, len(table)) if len(rows) else np.zeros(len(table))
+        rows = _rows(table)
+        words = _Words(rows["text"])
+        each = _log_scores(words.elsewhere(_totals(answers), order), words, total, order, backoff)
+        n_words = np.diff(words.first)
+        log_score = np.bincount(words.row, each, len(rows)) if len(each) else np.zeros(len(rows))
         mean = pa.array(log_score / np.maximum(n_words, 1), mask=n_words == 0)
-        return pa.Table.from_arrays([table["doc_id"], pa.array(n_words), pa.array(log_score), mean], schema=result)
-
-    asked = pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("low", pa.binary()), ("big", pa.binary())])
-    answered = pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("low", pa.binary()), ("big", pa.binary())])
-    from pyspark.sql.pandas.types import to_arrow_type
+        return pa.Table.from_arrays([rows["doc_id"], pa.array(n_words), pa.array(log_score), mean], schema=result)
 
-    result = pa.schema([("doc_id", to_arrow_type(plain.schema["doc_id"].dataType)), ("n_words", pa.int64()), ("log_score", pa.float64()), ("score", pa.float64())])
-    questions = dealt.groupBy("batch").applyInArrow(ask, "batch int, part int, keys binary, low binary, big binary")
-    answers = questions.groupBy("part").applyInArrow(answer, "batch int, part int, low binary, big binary")
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, score double")
+    answers = _counted(texts.groupBy("chunk").applyInArrow(first_question, QUESTION), parts, chunk_parts)
+    for k in range(3, order + 1):
+        more = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(next_question(k), QUESTION)
+        answers = answers.union(_counted(more, parts, chunk_parts))
+    kind = plain.dtypes[0][1]
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_words long, log_score double, score double")

@@ -17,7 +17,7 @@ from tests.llm.helpers import corpus, documents, edited, prose
 def test_lm_scores_match_counts(spark):
     rows = corpus()[:70] + [(900, "a b c"), (901, "a b c a b"), (902, None), (None, "a b x")]
     got = collections.defaultdict(list)
-    for r in lm_score.lm_scores(documents(spark, rows, extra=True), batch_words=500).collect():
+    for r in lm_score.lm_scores(documents(spark, rows, extra=True), chunk_words=500).collect():
         got[r["doc_id"]].append(r)
     words = [(r[0], (r[1] or "").encode().lower().split()) for r in rows]
     grams = lambda w: collections.Counter(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
@@ -40,12 +40,12 @@ def test_lm_scores_of_one_document_and_none(spark):
     assert lm_score.lm_scores(documents(spark, [(1, "a b")])).first()["n_words"] == 2
 
 
-def test_coded_numbers():
-    for keys in ([], [0], [5, 6, 1 << 40], [1, 2, 3]):
-        keys = np.array(keys, np.uint64)
-        assert (lm_score._decoded(lm_score._coded(keys)) == keys).all()
-    n = np.array([1, 255, 256, 1 << 33, 0])
-    assert (lm_score._uncounted(*lm_score._counts(n)) == n).all()
+def test_lm_scores_do_not_depend_on_chunks(spark):
+    """Also for four words, and with many rows that have no id."""
+    rows = corpus()[:60] + [(None, f"{t} tail") for t in ["a b c d e", "b c d e f", "a b c d"] * 9]
+    docs = documents(spark, rows).repartition(3)
+    found = [sorted((r["n_words"], round(r["log_score"], 6)) for r in lm_score.lm_scores(docs, order=4, chunk_words=n).collect()) for n in (40, 3000, 10**6)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
 
 
 def vectors():
