@@ -9,9 +9,9 @@ Rows of a partition that follow each other form chunks of about `CHUNK_WORDS` wo
 A chunk's n-grams are exploded and counted in the chunk first, so a frequent n-gram
 leaves it once, whatever its share of the corpus. An n-gram's key is a 47-bit hash
 of order and words; its upper bits, the bucket, partition the count table, a
-DataFrame of (bucket, rest, total). N-grams of two chunks or more are joined to
-their totals, and the totals go back to the chunk, where they are joined to the
-n-grams and summed by document. The table is made level by level: an n-gram of three
+DataFrame of (bucket, rest, chunk, n) whose totals by (bucket, rest) are joined to
+its rows. Those of n-grams of two chunks or more go back to the chunk, where they
+are joined to the n-grams and summed by document. The table is made level by level: an n-gram of three
 words or more can only occur elsewhere if both of its shorter ones do, so only those
 are counted. That is exact. Between stages the n-grams of a chunk and bucket travel
 as arrays in one row, a few bytes each.
@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -138,11 +138,11 @@ def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(questions: DataFrame, parts: int, chunk_parts: int) -> DataFrame:
     """(bucket, chunk, rest, total): the corpus totals of those n-grams of each chunk that another chunk has too."""
-    packed = questions.repartition(parts, "bucket")
-    grams = packed.select("bucket", "chunk", F.inline(F.arrays_zip("rest", "n")))
-    # the count table; an n-gram of one chunk needs no row, as the chunk has counted it
-    counts = grams.groupBy("bucket", "rest").agg(F.sum("n").alias("total"), F.count("*").alias("chunks")).where("chunks > 1").drop("chunks")
-    shared = grams.select("bucket", "chunk", "rest").join(counts.hint("shuffle_hash"), ["bucket", "rest"])
+    # the count table, each n-gram's total joined to the chunks that have it: a window, so that one exchange serves both
+    grams = questions.repartition(parts, "bucket").select("bucket", "chunk", F.inline(F.arrays_zip("rest", "n")))
+    total = F.sum("n").over(Window.partitionBy("bucket", "rest"))
+    # an n-gram of one chunk needs no answer, as the chunk has counted it
+    shared = grams.withColumn("total", total).where("total > n")
     answers = shared.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("rest", "total")).alias("a"))
     return answers.select("bucket", "chunk", F.col("a.rest").alias("rest"), F.col("a.total").alias("total")).repartition(chunk_parts, "chunk")
 
