@@ -7,7 +7,7 @@ n-grams are taken out of the counts, or each would be its own evidence.
 
 Rows of a partition that follow each other form chunks of about `CHUNK_WORDS` words.
 A chunk's n-grams are exploded and counted in the chunk first, so a frequent n-gram
-leaves it once, whatever its share of the corpus. An n-gram's key is a 47-bit hash
+leaves it once, whatever its share of the corpus. An n-gram's key is a 46-bit hash
 of order and words; its upper bits, the bucket, partition the count table, a
 DataFrame of (bucket, rest, chunk, n) whose totals by (bucket, rest) are joined to
 its rows. Those of n-grams of two chunks or more go back to the chunk, where they
@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm.common import arrow_rows, mix, slices, windows, word_hashes, word_spans
+from tessella.llm.common import arrow_rows, mix, slices, word_hashes, word_spans
 
-ORDER, BACKOFF, CHUNK_WORDS, PART_KEYS = 3, 0.4, 2_000_000, 1_200_000
+ORDER, BACKOFF, CHUNK_WORDS, PART_KEYS = 3, 0.4, 1_500_000, 1_200_000
 #: Bits of a key that name its bucket; 32 more follow.
-BUCKET_BITS = 15
-QUESTION = "bucket int, chunk long, rest array<int>, n array<long>"
+BUCKET_BITS = 14
+#: Counts up to this one travel as bytes, others in rows of their own.
+FEW = 127
+QUESTION = "bucket int, chunk long, rest array<int>, few array<tinyint>, many array<long>"
 
 
 def _chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
@@ -49,7 +51,7 @@ def _chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
                 n = int(np.searchsorted(held + np.cumsum(words[i:]), chunk_words)) + 1
                 piece = batch.slice(i, n)
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as out:
                     out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in piece.columns], schema=piece.schema))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "payload"])
                 held += int(words[i : i + n].sum())
@@ -81,10 +83,14 @@ class _Words:
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of all n-grams of k words and the places of their last words."""
-        runs, starts = windows(self.hashes, self.first, k, short=False)
-        n = np.diff(starts)
-        place = np.repeat(self.first[:-1] + k - 1, n) + np.arange(len(runs)) - np.repeat(starts[:-1], n)
-        return mix(runs + np.uint64(k)) >> np.uint64(32 - BUCKET_BITS), place
+        n = len(self.hashes) - k + 1
+        if n < 1:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        out = np.zeros(n, np.uint64)
+        for j in range(k):
+            out = mix(out * np.uint64(0x100000001B3) + self.hashes[j : n + j])
+        at = np.flatnonzero(self.row[:n] == self.row[k - 1 :])  # those inside one document
+        return mix(out[at] + np.uint64(k)) >> np.uint64(32 - BUCKET_BITS), at + k - 1
 
     def open_grams(self, k: int, elsewhere: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Those that may occur in another document: both of their shorter n-grams do."""
@@ -117,34 +123,47 @@ class _Words:
 
 
 def _question(chunk: int, keys: np.ndarray) -> pa.Table:
-    """One row a bucket with the rests of the chunk's distinct keys and how often each occurs."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("rest", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+    """One row a bucket with the rests of the chunk's distinct keys and how often each occurs; one more for those that occur often."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("rest", pa.list_(pa.int32())), ("few", pa.list_(pa.int8())), ("many", pa.list_(pa.int64()))])
     keys, n = np.unique(keys, return_counts=True)
-    bucket, at = np.unique(keys >> np.uint64(32), return_index=True)
-    at = pa.array(np.append(at, len(keys)), pa.int32())
-    rest = pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-    lists = [pa.ListArray.from_arrays(at, rest), pa.ListArray.from_arrays(at, pa.array(n, pa.int64()))]
-    return pa.Table.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), chunk)), *lists], schema=schema)
+
+    def rows(at: np.ndarray, often: bool) -> pa.Table:
+        bucket, first = np.unique(keys[at] >> np.uint64(32), return_index=True)
+        ends = pa.array(np.append(first, len(at)), pa.int32())
+        rest = pa.array((keys[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+        none = pa.array(np.zeros(len(bucket) + 1, np.int32))
+        counts = [pa.ListArray.from_arrays(none if often else ends, pa.array(n[at] if not often else [], pa.int8())), pa.ListArray.from_arrays(ends if often else none, pa.array(n[at] if often else [], pa.int64()))]
+        return pa.Table.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), chunk)), pa.ListArray.from_arrays(ends, rest), *counts], schema=schema)
+
+    return pa.concat_tables([rows(np.flatnonzero(n <= FEW), False), rows(np.flatnonzero(n > FEW), True)])
 
 
 def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    size = table["rest"].combine_chunks().value_lengths().to_numpy()
-    key = np.repeat(table["bucket"].to_numpy().astype(np.uint64) << np.uint64(32), size) | table["rest"].combine_chunks().flatten().to_numpy().view(np.uint32).astype(np.uint64)
+    """(sorted keys, counts) of a chunk's answers."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for rest, count in (("few_rest", "few"), ("many_rest", "many")):
+        lists = table[rest].combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))
+        low = lists.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+        keys.append(np.repeat(table["bucket"].to_numpy().astype(np.uint64) << np.uint64(32), lists.value_lengths().to_numpy()) | low)
+        counts.append(table[count].combine_chunks().flatten().to_numpy().astype(np.int64) if len(table) else np.zeros(0, np.int64))
+    key, count = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key)
-    return key[order], table["total"].combine_chunks().flatten().to_numpy()[order]
+    return key[order], count[order]
 
 
 def _counted(questions: DataFrame, parts: int, chunk_parts: int) -> DataFrame:
-    """(bucket, chunk, rest, total): the corpus totals of those n-grams of each chunk that another chunk has too."""
+    """(bucket, chunk, few_rest, few, many_rest, many): the corpus totals of those n-grams of each chunk that another chunk has too."""
     # the count table, each n-gram's total joined to the chunks that have it: a window, so that one exchange serves both
-    grams = questions.repartition(parts, "bucket").select("bucket", "chunk", F.inline(F.arrays_zip("rest", "n")))
+    packed = questions.repartition(parts, "bucket")
+    grams = packed.select("bucket", "chunk", F.inline(F.arrays_zip("rest", "few", "many"))).select("bucket", "chunk", "rest", F.coalesce(F.col("few").cast("long"), "many").alias("n"))
     total = F.sum("n").over(Window.partitionBy("bucket", "rest"))
     # an n-gram of one chunk needs no answer, as the chunk has counted it
     shared = grams.withColumn("total", total).where("total > n")
-    answers = shared.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("rest", "total")).alias("a"))
-    return answers.select("bucket", "chunk", F.col("a.rest").alias("rest"), F.col("a.total").alias("total")).repartition(chunk_parts, "chunk")
+    often = F.col("total") > FEW
+    few, many = F.struct("rest", F.col("total").cast("tinyint").alias("total")), F.struct("rest", "total")
+    answers = shared.groupBy("bucket", "chunk").agg(F.collect_list(F.when(~often, few)).alias("f"), F.collect_list(F.when(often, many)).alias("m"))
+    columns = (F.col(f"{c}.{x}").alias(name) for c, x, name in (("f", "rest", "few_rest"), ("f", "total", "few"), ("m", "rest", "many_rest"), ("m", "total", "many")))
+    return answers.select("bucket", "chunk", *columns).repartition(chunk_parts, "chunk")
 
 
 def _number_of_words(docs: DataFrame) -> int:
@@ -175,9 +194,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     text has no words, log_score 0 and a null score. Rows are documents of their
     own, also with equal or null ids. In a corpus of one document nothing is seen
     elsewhere, so each word scores as one occurrence in one. An empty table gives
-    no rows. Other columns are ignored. N-grams are told apart by 47 bits of a hash:
-    of two million words that no other document has, about one in half a gigabyte of text
-    is taken for another.
+    no rows. Other columns are ignored. N-grams are told apart by 46 bits of a hash: in
+    half a gigabyte of text, of a million n-grams that no other document has about two are
+    taken for one that some has.
     """
     arrow_rows(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
