@@ -21,6 +21,7 @@ of several common buckets comes out of the least of them only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +70,18 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def _text_keys(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two halves of a key of each row's word sequence; 0 without words."""
+    full, out = np.flatnonzero(np.diff(first)), []
+    place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+    for salt in seeds(2, 3):
+        key = np.zeros(len(first) - 1, dtype=np.uint64)
+        if len(full):
+            key[full] = np.add.reduceat(mix(words + (place.astype(np.uint64) + np.uint64(1)) * salt), first[full])
+        out.append(key)
+    return out
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, two halves of a key of the word sequence, and the band keys (none for an empty set)."""
     permutations = -(-bands * rows // 2)
@@ -79,18 +92,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
             for i, j, values, begins, words, first in _shingle_sets(batch.column(1), width):
                 n = np.diff(begins)
                 full = np.flatnonzero(n)
-                keys = np.zeros((j - i, 2), dtype=np.uint64)
+                keys = _text_keys(words, first)
                 held = np.zeros((0, bands), dtype=np.uint64)
                 if len(full):
                     held = band_hashes(min_max(values, np.append(begins[full], len(values)), permutations), bands, rows)
-                    place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-                    for k, salt in enumerate(seeds(2, 3)):
-                        term = mix(words + (place.astype(np.uint64) + np.uint64(1)) * salt)
-                        keys[full, k] = np.add.reduceat(term, first[full])
                 at = np.zeros(j - i + 1, dtype=np.int64)
                 at[1:] = np.cumsum(np.where(n > 0, bands, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i:j], pa.array(n.astype(np.int64)), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), list_column(held.ravel(), at)],
+                    [ids[i:j], pa.array(n.astype(np.int64)), *(pa.array(k.view(np.int64)) for k in keys), list_column(held.ravel(), at)],
                     names=["doc_id", "n_shingles", "k1", "k2", "bands"],
                 )
 
@@ -101,15 +110,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id and its distinct shingle hashes in order."""
+    """doc_id, the key of the word sequence, and the distinct shingle hashes in order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, values, begins, _, _ in _shingle_sets(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], list_column(values, begins)], names=["doc_id", "shingles"])
+            for i, j, values, begins, words, first in _shingle_sets(batch.column(1), width):
+                keys = _text_keys(words, first)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], *(pa.array(k.view(np.int64)) for k in keys), list_column(values, begins)], names=["doc_id", "k1", "k2", "shingles"])
 
     kind = docs.select(id_col).dtypes[0][1]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id {kind}, shingles array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, f"doc_id {kind}, k1 long, k2 long, shingles array<long>")
 
 
 def sketches(sets: DataFrame, words: int = SKETCH) -> DataFrame:
@@ -151,31 +161,33 @@ def near_duplicates(
     one shingle). component_id is the smallest id that links reach; kept says that
     a row is its component's first. A null or blank text has no shingles and links
     with nothing. A row with a null id links with nothing, has a null component
-    and is kept. Rows with the same id share a component only if their texts do
-    or as links lead there; equal rows stay rows. An empty table gives none.
+    and is kept. Different texts under one id are texts of their own: each row has the
+    component of its text, and is kept where that is its id; equal rows stay rows. An empty table gives none.
     Columns other than the id and the text are ignored, whatever their names.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     signed = stage(signatures(docs, id_col, text_col, width, bands, rows), "signatures")
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    first = stage(real.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("k1", "k2", "r.*"), "texts")
+    first = real.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("first_id"), "r.n_shingles", "r.bands")
+    first = stage(first, "texts")
+    # a text goes by its smallest id; where one id has several texts, all go by their keys
+    shared = not first.groupBy("first_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    first = first.withColumn("doc_id", F.concat_ws("-", F.hex("k1"), F.hex("k2")) if shared else F.col("first_id"))
 
     banded = first.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
     members = stage(banded.join(crowded, "bucket"), "members")
     degree = members.groupBy("doc_id").agg(F.sum("crowd").alias("degree"))
-    pivots = members.join(degree, "doc_id").groupBy("bucket").agg(F.max(F.struct(F.col("degree"), -F.col("doc_id"), F.col("n_shingles"))).alias("m"))
-    pivots = pivots.select("bucket", (-F.col("m.col2")).alias("pivot"), F.col("m.n_shingles").alias("pivot_n"))
+    pivots = members.join(degree, "doc_id").groupBy("bucket").agg(F.max(F.struct("degree", "doc_id", "n_shingles")).alias("m"))
+    pivots = pivots.select("bucket", F.col("m.doc_id").alias("pivot"), F.col("m.n_shingles").alias("pivot_n"))
     spoked = stage(members.join(pivots, "bucket").select("bucket", "doc_id", "n_shingles", "pivot", "pivot_n"), "spokes")
 
     spokes = spoked.where("doc_id <> pivot").select(F.col("doc_id").alias("x"), F.col("pivot").alias("y")).distinct()
-    wanted = spoked.select("doc_id").distinct()
-    sets = stage(
-        shingle_sets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi"), "doc_id", "text", width)
-        .join(first.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
-        "sets",
-    )
+    wanted = first.select("first_id", "k1", "k2", "doc_id").join(spoked.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(wanted.select("first_id").distinct(), "first_id", "left_semi")
+    sets = shingle_sets(known, "first_id", "text", width).withColumnRenamed("doc_id", "first_id").join(wanted, ["first_id", "k1", "k2"])
+    sets = stage(sets.select("doc_id", "shingles").dropDuplicates(["doc_id"]), "sets")
     measured = stage(_confirm(spokes, sets), "measured")
     links = measured.where(100 * F.col("common") >= percent * F.col("whole")).select("x", "y")
     found = stage(connected_components(links, "x", "y"), "found")
@@ -208,12 +220,16 @@ def near_duplicates(
     unlike = (1 - percent / 100) / 2
     most = 64 * SKETCH * unlike + 5 * (64 * SKETCH * unlike * (1 - unlike)) ** 0.5
     differing = sum(F.bit_count(F.col(f"o.s{k}").bitwiseXOR(F.col(f"i.s{k}"))) for k in range(SKETCH))
-    outer = open_to_links.where("own <> theirs").alias("o")
+    outer = open_to_links.where("own <> theirs")
     # far is 1 - J; two linked documents differ in it by at most the largest distance of a link
     reach = 1 - percent / 100 + 1e-9
     enough = (100 + percent) * F.least("o.shared", "i.shared") >= percent * (F.col("o.n_shingles") + F.col("i.n_shingles"))
+    # sizes of linked texts differ by the threshold at most, so they are in the same class or in neighbours
+    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(percent / 100)) + 1e-9) if percent < 100 else F.col("n_shingles")
+    inner = open_to_links.withColumn("size_class", size_class).alias("i")
+    outer = outer.withColumn("size_class", F.explode(F.sequence(size_class - 1, size_class + 1))).alias("o")
     rest = (
-        outer.join(open_to_links.alias("i"), "bucket")
+        outer.join(inner, (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.size_class") == F.col("i.size_class")))
         .where(
             (F.col("o.own") != F.col("i.own"))
             & enough
@@ -221,7 +237,7 @@ def near_duplicates(
             & ((F.col("i.own") == F.col("i.theirs")) | (F.col("o.doc_id") < F.col("i.doc_id")))
             & (F.col("i.far") > 0)
             & (differing <= most)
-            & (F.array_min(F.array_intersect("o.buckets", "i.buckets")) == F.col("bucket"))
+            & (F.array_min(F.array_intersect("o.buckets", "i.buckets")) == F.col("o.bucket"))
         )
         .select(F.least("o.doc_id", "i.doc_id").alias("x"), F.greatest("o.doc_id", "i.doc_id").alias("y"))
         .distinct()
@@ -230,8 +246,11 @@ def near_duplicates(
     every = stage(links.union(more), "links")
     whole = connected_components(every, "x", "y").withColumnsRenamed({"node": "text_id", "component": "linked"})
 
-    texts = first.select("k1", "k2", F.col("doc_id").alias("text_id")).join(whole, "text_id", "left")
-    texts = texts.select("k1", "k2", F.coalesce("linked", "text_id").alias("reached"))
+    texts = first.select("k1", "k2", "first_id", F.col("doc_id").alias("text_id")).join(whole, "text_id", "left")
+    texts = texts.select("k1", "k2", "first_id", F.coalesce("linked", "text_id").alias("reached"))
+    if shared:
+        texts = texts.join(texts.groupBy("reached").agg(F.min("first_id").alias("low")), "reached").select("k1", "k2", F.col("low").alias("reached"))
+    texts = texts.select("k1", "k2", "reached")
     alone = F.when(F.col("n_shingles") > 0, F.col("reached"))
     out = signed.select("doc_id", "n_shingles", *(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(k)).alias(k) for k in ("k1", "k2")))
     return out.join(texts, ["k1", "k2"], "left").select(

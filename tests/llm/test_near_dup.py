@@ -56,6 +56,14 @@ def test_nulls_repeats_and_empty(spark):
     assert empty.collect() == [] and empty.columns == ["doc_id", "n_shingles", "component_id", "kept"]
 
 
+def test_different_texts_under_one_id(spark):
+    a, b = prose(30, 90), prose(31, 90)
+    rows = [(5, a), (5, b), (3, edited(a, 1, 1)), (2, edited(b, 2, 1)), (8, prose(32, 70)), (8, None), (9, b)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(documents(spark, rows)).collect())
+    n = lambda t: len(shingles(t, 5))
+    assert got == sorted([(5, n(a), 3, False), (5, n(b), 2, False), (3, n(rows[2][1]), 3, True), (2, n(rows[3][1]), 2, True), (8, n(rows[4][1]), 8, True), (8, 0, 8, True), (9, n(b), 2, False)])
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (200, 200), (None, 3), (149, 60)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
