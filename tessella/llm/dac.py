@@ -26,6 +26,8 @@ from tessella.llm.common import arrow_rows, scratch_path
 from tessella.llm.tokens import default_path, encoder
 
 WIDTHS, DIRECTORY, END_ID, SEGMENT_IDS = (9, 7), 512, 2, 1 << 20
+#: Parts whose totals are broadcast: 16 bytes each.
+FEW_PARTS = 1 << 20
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -151,15 +153,15 @@ def write_token_files(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, offset = TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
 
         def out() -> pa.RecordBatch:
             lens = [len(x) for x in ids]
-            row = [[part], [number], [sum(lens)], [names[:]], [lens], [encode(np.concatenate(ids), widths)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "segment", "n_ids", "doc_ids", "lengths", "payload"])
+            row = [[part], [number], [offset], [sum(lens)], [names[:]], [lens], [encode(np.concatenate(ids), widths)]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "segment", "offset", "n_ids", "doc_ids", "lengths", "payload"])
 
         held = 0
         end = np.array([end_id], np.uint32)
@@ -170,27 +172,30 @@ def write_token_files(
                 held += len(got) + 1
                 if held >= segment_ids:
                     yield out()
-                    number, held = number + 1, 0
+                    number, offset, held = number + 1, offset + held, 0
                     ids.clear()
                     names.clear()
         if ids:
             yield out()
 
     # Payloads stay as they are: a compressed page would have to be decoded before an id in it could be read.
-    sorted_docs.mapInArrow(work, "part int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary").write.option(
+    sorted_docs.mapInArrow(work, "part int, segment int, offset long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary").write.option(
         "compression", "none"
     ).parquet(path)
 
 
 def segments(spark, path: str) -> DataFrame:
-    """The segments with `start`, the number of ids before them. Totals of parts first, so no task sees all segments."""
+    """The segments with `start`, the number of ids before them: those of earlier parts, and those before it in its own part, which its writer knew.
+
+    Only the totals of parts, one row a written partition, are added up and joined; they are broadcast if there are few enough.
+    """
     read = spark.read.parquet(path)
     parts = read.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = read.select("part", "segment", "n_ids").join(parts.select("part", before.alias("before")), "part")
-    starts = starts.select("part", "segment", (F.col("before") + own).alias("start"))
-    return read.join(starts, ["part", "segment"])
+    before = parts.select("part", before.alias("before"))
+    if parts.count() <= FEW_PARTS:
+        before = F.broadcast(before)
+    return read.join(before, "part").withColumn("start", F.col("before") + F.col("offset")).drop("before")
 
 
 def read_digests(spark, path: str) -> DataFrame:
@@ -211,22 +216,27 @@ def read_digests(spark, path: str) -> DataFrame:
 
 
 def read_tokens(positions: DataFrame, path: str, column: str = "position") -> DataFrame:
-    """The positions with `token_id`: each is read alone from its segment. A position outside the files has none."""
+    """The positions with `token_id`: each is read alone from its segment. A position outside the files has none.
+
+    Positions meet their segment by number, so a payload goes to one task once, whatever is asked of it.
+    """
     spark = positions.sparkSession
-    where = segments(spark, path).select("start", (F.col("start") + F.col("n_ids")).alias("stop"), "payload")
-    grain = SEGMENT_IDS
+    read, grain = segments(spark, path), SEGMENT_IDS
+    where = read.select("part", "segment", "start", (F.col("start") + F.col("n_ids")).alias("stop"))
     cells = where.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / grain), F.floor((F.col("stop") - 1) / grain))))
-    asked = positions.select(F.col(column).cast("long").alias("position")).withColumn("cell", F.floor(F.col("position") / grain))
+    asked = positions.select(F.col(column).cast("long").alias("position")).distinct().withColumn("cell", F.floor(F.col("position") / grain))
     hit = asked.join(cells, "cell").where("position >= start and position < stop")
+    hit = hit.select(F.col("part").alias("in_part"), F.col("segment").alias("in_segment"), "position", (F.col("position") - F.col("start")).alias("place"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            ids = [Segment(r["payload"])[r["position"] - r["start"]] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64())], names=["position", "token_id"])
+    def work(asked: pa.Table, payloads: pa.Table) -> pa.Table:
+        if not len(asked):
+            return pa.table({"position": pa.array([], pa.int64()), "token_id": pa.array([], pa.int64())})
+        segment = Segment(payloads["payload"][0].as_py())
+        return pa.table({"position": asked["position"], "token_id": pa.array([segment[i] for i in asked["place"].to_pylist()], pa.int64())})
 
-    arrow_rows(spark, 8)
-    got = hit.select("position", "start", "payload").mapInArrow(work, "position long, token_id long").distinct()
+    wanted = hit.select("in_part", "in_segment").distinct()
+    payloads = read.select("part", "segment", "payload").join(wanted, (F.col("part") == F.col("in_part")) & (F.col("segment") == F.col("in_segment")), "left_semi")
+    got = hit.groupBy("in_part", "in_segment").cogroup(payloads.groupBy("part", "segment")).applyInArrow(work, "position long, token_id long")
     return positions.join(got.withColumnRenamed("position", "__position"), F.col(column) == F.col("__position"), "left").drop("__position")
 
 
