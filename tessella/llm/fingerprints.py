@@ -5,8 +5,8 @@ occurs. For sample k every term has fixed r and c from Gamma(2, 1) and b from
 U(0, 1), and with t = floor(ln S / r + b) for its weight S the term's value is
 ln c - r (t - b) - r; the term with the least value is the sample. Two texts share
 a sample with probability sum min(S) / sum max(S), their generalised Jaccard
-similarity. A sample is named by the bits of its least value, which only the same
-term with the same t reaches.
+similarity. A sample is named by 16 bits of its least value, which only the same
+term with the same t reaches; unlike values share them in one of 65,536 cases.
 
 The r, b and c of a term are looked up by three different parts of its 64-bit hash
 in tables of 2**15 rows that a worker draws once from a fixed seed, so a sample costs
@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import arrow_rows, distinct_per_row, slices, windows, word_hashes
 
 SAMPLES, WIDTH, BITS, SEED, STEP = 64, 5, 15, 20240229, 1 << 13
+#: Ranges of ids that tasks work on, whose cuts and heads pass through the driver.
+MOST_RANGES = 20_000
 _tables: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
 
 
@@ -42,7 +45,7 @@ def tables(samples: int, bits: int) -> tuple[np.ndarray, ...]:
 
 
 def signatures(flat: np.ndarray, at: np.ndarray, samples: int = SAMPLES, width: int = WIDTH, bits: int = BITS) -> np.ndarray:
-    """A row of samples for each text; a text without words has zeros."""
+    """A row of samples for each text, 16 bits each; a text without words has zeros."""
     tables_r, tables_b, tables_c = tables(samples, bits)
     words, first = word_hashes(flat, at)
     runs, starts = windows(words, first, width)
@@ -62,7 +65,8 @@ def signatures(flat: np.ndarray, at: np.ndarray, samples: int = SAMPLES, width:
         rows = np.arange(np.searchsorted(begins, lo, side="right") - 1, np.searchsorted(begins, hi))
         rows = rows[begins[rows + 1] > begins[rows]]
         np.minimum.at(low, rows, np.minimum.reduceat(value, np.maximum(begins[rows] - lo, 0), axis=0))
-    return np.where(np.isinf(low), np.uint32(0), low.view(np.uint32) | np.uint32(1))
+    value = low.view(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(13) & np.uint64(0xFFFF)
+    return np.where(np.isinf(low), 0, np.maximum(value, 1)).astype(np.uint16)
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -71,9 +75,8 @@ def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fingerprint_text(signature: np.ndarray) -> str:
-    """16 bits of each sample in hex."""
-    s = signature.astype(np.uint64)
-    return ((s * np.uint64(0x9E3779B1) >> np.uint64(13)) & np.uint64(0xFFFF)).astype(">u2").tobytes().hex()
+    """The samples in hex, four digits each."""
+    return signature.astype(">u2").tobytes().hex()
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,17 +96,23 @@ def _ranges(docs: DataFrame, rows: int) -> DataFrame:
     """The rows with `part`, ranges of falling id, and each range's last neighbour as a further row with `guest`.
 
     The neighbour of a range's smallest id is the largest id of the next range that
-    has rows, and of the last range the largest of all. Only counts and one id a
-    range are gathered for that.
+    has rows, and of the last range the largest of all. Ranges have about `rows` rows,
+    more where there would be more than MOST_RANGES of them: only their cuts and heads
+    are gathered. Rows without an id are cut by their tie-breaking hash.
     """
-    n = docs.count()
-    parts = max(1, -(-n // rows))
+    n, unnamed = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    rows = max(rows, -(-n // MOST_RANGES))
+    parts, tail = max(1, -(-(n - unnamed) // rows)), max(1, -(-unnamed // rows))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * max(parts, 1000))).first()[0] if parts > 1 else []
-    cuts = sorted({c for c in cuts or [] if c is not None})
-    # how many cuts lie at or above the id: found by halving, not by a chain of comparisons
-    cut_array = F.array(*map(F.lit, cuts)) if cuts else None
-    part = F.lit(0) if not cuts else F.coalesce(F.size(F.filter(cut_array, lambda c: c >= F.col("doc_id"))), F.lit(len(cuts) + 1))
-    ranged = docs.withColumn("part", part.cast("int"))
+    cuts = np.array(sorted({c for c in cuts or [] if c is not None}), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def part(ids: pd.Series) -> pd.Series:
+        """How many cuts lie at or above the id."""
+        return pd.Series(len(cuts) - np.searchsorted(cuts, ids.to_numpy(np.int64)), dtype="int32")
+
+    last = F.lit(len(cuts) + 1) + F.floor((1 - F.conv(F.substring("tie", 1, 7), 16, 10).cast("double") / (1 << 28)) * tail).cast("int")
+    ranged = docs.withColumn("part", F.when(F.col("doc_id").isNull(), last).otherwise(part(F.coalesce("doc_id", F.lit(0).cast("long")))))
     heads = [(r["part"], r["head"]) for r in ranged.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie")).alias("head")).collect()]
     heads.sort()
     if not heads:
@@ -111,7 +120,7 @@ def _ranges(docs: DataFrame, rows: int) -> DataFrame:
     # the head of each range is also a guest of the range before it; that of the first range, of the last
     to = {heads[k][0]: heads[k - 1][0] for k in range(len(heads))}
     spark = docs.sparkSession
-    guests = spark.createDataFrame([(p, to[p], h["doc_id"], h["tie"]) for p, h in heads], f"part int, into int, head {docs.select('doc_id').dtypes[0][1]}, head_tie string")
+    guests = spark.createDataFrame([(p, to[p], h["doc_id"], h["tie"]) for p, h in heads], "part int, into int, head long, head_tie string")
     copies = (
         ranged.join(F.broadcast(guests), "part").where(F.col("doc_id").eqNullSafe(F.col("head")) & F.col("tie").eqNullSafe(F.col("head_tie")))
         .select(F.col("into").alias("part"), "doc_id", "text", "tie").dropDuplicates(["part"]).withColumn("guest", F.lit(True))
@@ -130,7 +139,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     by a hash of their text. An empty table gives no rows. Other columns are ignored.
     """
     arrow_rows(docs.sparkSession)
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = _ranges(plain.withColumn("tie", F.md5("text")), rows)
 
     def row_of(column: pa.Array) -> np.ndarray:

@@ -86,11 +86,15 @@ def test_fingerprint_edits_match_plain_version(spark):
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(documents(spark, rows, extra=True), rows=17).collect()}
     assert len(got) == len(rows)
     order = sorted(((r[0], r[1] or "") for r in rows), reverse=True)
+    prints = {r[1] or "": got[r[0]]["fingerprint"] for r in rows}
     for (doc, text), (_, after) in zip(order, [*order[1:], order[0]]):
         n = len(text) // 3
         changed = text[: len(text) - n] + after[:n]
         r = got[doc]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        parts = lambda x: [x[k : k + 4] for k in range(0, len(x), 4)]
+        alike = lambda x, y: sum(a == b for a, b in zip(parts(x), parts(y), strict=True)) / fingerprints.SAMPLES
+        assert r["near_edited"] == alike(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == alike(r["fingerprint"], prints[after])
         if changed == text:
             assert r["near_edited"] == 1 and r["fingerprint"] == r["edited_fingerprint"]
     by_text = collections.defaultdict(set)
@@ -106,6 +110,11 @@ def test_fingerprint_of_few_rows(spark):
     assert [(r["doc_id"], r["near_next"]) for r in one] == [(1, 1.0)]
     many = fingerprints.fingerprint_edits(documents(spark, [(1, "abc"), (1, "abc"), (None, None), (None, "q")]), rows=1).collect()
     assert len(many) == 4
+    # rows without an id come last, in falling order of their texts' md5, whatever ranges they are in
+    rows = [(2, "two words"), *((None, prose(k, 9)) for k in range(30))]
+    found = {r["edited_sha256"] for r in fingerprints.fingerprint_edits(documents(spark, rows), rows=4).collect()}
+    order = ["two words", *sorted((t for d, t in rows if d is None), key=lambda t: hashlib.md5(t.encode()).hexdigest(), reverse=True)]
+    assert found == {hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest() for t, u in zip(order, [*order[1:], order[0]])}
 
 
 def test_collision_rate_is_generalised_jaccard():
