@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences, with conflicts.
 
-Documents are dealt by a hash of their id into shards of a bounded number of
-rows; each shard is packed by one task, largest piece first. Open bins are kept
+Documents are dealt by a hash of their place in the table, so that neither equal ids
+nor equal rows meet in one task, into shards of a bounded number of rows; each shard is packed by one task, largest piece first. Open bins are kept
 in order of their residual. A piece asks for the successor of its length in that
 order, the tightest bin that can hold it, and goes on to the next one while the
 bin's bitmaps show a conflict: a bin never holds two documents of the same
@@ -56,13 +56,13 @@ class Bins:
         return b, offset
 
 
-def _pack(lengths: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int, per_source: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of every piece; pieces come largest first. Clusters that occur once have no bit."""
+def _pack(lengths: np.ndarray, sources: np.ndarray, clusters: np.ndarray, alone: np.ndarray, capacity: int, per_source: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of every piece; pieces come largest first. Pieces alone and clusters that occur once have no bit."""
     bins = Bins(capacity, per_source)
     source_bit = pd.factorize(sources)[0]
     code, _ = pd.factorize(clusters)
     seen = np.bincount(code, minlength=1)
-    bit = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[code] if len(code) else code
+    bit = np.where(alone, -1, np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[code]) if len(code) else code
     out = np.empty((len(lengths), 2), dtype=np.int64)
     for i, (n, s, c) in enumerate(zip(lengths.tolist(), source_bit.tolist(), bit.tolist(), strict=True)):
         out[i] = bins.put(n, 1 << s, 1 << c if c >= 0 else 0)
@@ -86,14 +86,14 @@ def best_fit(
     plain = items.select(
         F.coalesce(F.col(id_col), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.greatest(F.coalesce(F.col(length_col), F.lit(1)), F.lit(1)).cast("long").alias("length"),
         F.coalesce(F.xxhash64(F.col(source_col)), F.lit(0)).alias("source"),
-        F.when(F.col(cluster_col).isNull(), F.xxhash64(F.lit(1), F.col(id_col))).otherwise(F.xxhash64(F.lit(0), F.col(cluster_col))).alias("cluster"),
+        F.xxhash64(F.lit(0), F.col(cluster_col)).alias("cluster"), F.col(cluster_col).isNull().alias("alone"), F.monotonically_increasing_id().alias("row"),
     )
     shards = max(1, -(-items.count() // shard_rows))
-    dealt = plain.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "source", "cluster"), F.lit(shards)).cast("int"))
+    dealt = plain.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     kind = dealt.select("doc_id").dtypes[0][1]
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "no_id", "doc_id", "source", "cluster"], ascending=[False, True, True, True, True], kind="stable")
+        rows = rows.sort_values(["length", "no_id", "doc_id", "source", "cluster", "row"], ascending=[False, True, True, True, True, True], kind="stable")
         length, full = rows["length"].to_numpy(), rows["length"].to_numpy() // capacity
         rest = length - full * capacity
         count = full + (rest > 0)
@@ -103,7 +103,7 @@ def best_fit(
         out = pd.DataFrame({"shard": rows["shard"].to_numpy()[at], "bin": np.int64(0), "doc_id": rows["doc_id"].to_numpy()[at], "no_id": rows["no_id"].to_numpy()[at], "piece": piece, "first_token": piece * capacity, "n_tokens": size, "bin_offset": np.int64(0)})
         part = np.flatnonzero(size < capacity)
         part = part[np.argsort(-size[part], kind="stable")]
-        bins, offsets = _pack(size[part], rows["source"].to_numpy()[at[part]], rows["cluster"].to_numpy()[at[part]], capacity, per_source)
+        bins, offsets = _pack(size[part], rows["source"].to_numpy()[at[part]], rows["cluster"].to_numpy()[at[part]], rows["alone"].to_numpy()[at[part]], capacity, per_source)
         opened = int(bins.max()) + 1 if len(bins) else 0
         whole = np.flatnonzero(size == capacity)
         number = np.empty(len(at), dtype=np.int64)

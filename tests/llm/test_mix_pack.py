@@ -32,7 +32,7 @@ def test_shares_of_odd_weights():
 
 def test_mix_matches_plain_version(spark):
     rng = random.Random(5)
-    rows = [(i, "x" * rng.randint(0, 40), rng.choice(["hot", "hot", "hot", "a", "b", "c"])) for i in range(900)] + [(None, "yy", "a"), (7, "zz", None), (7, None, "unweighted")]
+    rows = [(i, "x" * rng.randint(0, 40), rng.choice(["hot", "hot", "hot", "a", "b", "c"])) for i in range(900)] + [(None, "yy", "alone"), (7, "zz", None), (7, None, "unweighted")]
     docs = documents(spark, rows, extra=True)
     weights, block, period = {"hot": 2.0, "a": 1.0, "b": 1.0, "c": 3.0, "": 0.01, "absent": 1.0}, 50, 100
     size = F.length("text")
@@ -141,6 +141,17 @@ def test_packing_places_every_token_once(spark):
     assert packing.best_fit(items.where("false")).collect() == []
 
 
+def test_rows_without_id_and_cluster_share_a_bin(spark):
+    items = spark.createDataFrame([(None, 10, f"s{i}", None) for i in range(3)], "doc_id long, n_tokens long, source string, cluster long")
+    assert len({r["bin_id"] for r in packing.best_fit(items, capacity=100).collect()}) == 1
+
+
+def test_equal_rows_are_dealt_to_many_shards(spark):
+    items = spark.range(2000).selectExpr("cast(null as long) as doc_id", "30L as n_tokens", "'s' as source", "cast(null as long) as cluster").repartition(4)
+    sizes = packing.best_fit(items, capacity=100, shard_rows=100).groupBy("shard").count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) < 200
+
+
 def test_near_copies_never_share_a_sequence(spark, tmp_path):
     bases = [prose(i, 100) for i in range(3)]
     texts = [edited(bases[i % 3], i, 1) for i in range(12)] + [bases[0], bases[0], None, ""]
