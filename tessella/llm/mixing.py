@@ -90,7 +90,8 @@ def schedule(
 ) -> DataFrame:
     """doc_id, source, units, block_no, release, deadline, slot, in_mix for every row.
 
-    Rows of a source come in the order of a hash of their id (then id and size); a
+    Rows of a source come in the order of a hash of their id (then id and size), rows
+    without an id in that of a hash of their place in the table; a
     row belongs to the block in which its first unit falls. in_mix says that the
     slot lies before the first one at which a source of the table has no more
     blocks: up to there the mix has its target weights, and rows behind it, or of
@@ -103,7 +104,7 @@ def schedule(
     size = F.lit(1) if size is None else size
     plain = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"),
-        F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("units"), F.xxhash64(F.col(id_col)).alias("h"),
+        F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("units"), F.when(F.col(id_col).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(F.col(id_col))).alias("h"),
     )
     ranges = max(1, -(-docs.count() // range_rows))
     ranged = stage(plain.withColumn("r", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * ranges).cast("int")), "mix")
