@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm.common import arrow_rows, mix, slices, word_hashes, word_spans
 
-ORDER, BACKOFF, CHUNK_WORDS, PART_KEYS = 3, 0.4, 1_500_000, 1_200_000
+ORDER, BACKOFF, CHUNK_WORDS, PART_KEYS = 3, 0.4, 2_500_000, 1_200_000
 #: Bits of a key that name its bucket; 32 more follow.
 BUCKET_BITS = 14
 #: Counts up to this one travel as bytes, others in rows of their own.
