@@ -1,15 +1,20 @@
 """Token totals by source, language and tokenizer version, maintained by signed deltas.
 
-A batch of changes is reduced to one row a group and written as its own folder of
-the ledger; Spark's commit marker in it is the commit. A batch that is committed
-already is left alone, so replaying a feed changes nothing, and a batch whose
-write was cut off is written anew. Totals are sums over committed batches, so
-batches may come in any order.
+A batch of changes is reduced to one row a group, written aside and moved to its
+place in one step, which is the commit: of two writers of one batch the later one
+finds it there. A batch that is committed already is left alone, so replaying a feed
+changes nothing, and a write that was cut off leaves nothing behind that is read.
+Totals are kept as a table: `maintain` adds the batches committed since to the last
+totals and commits the sum together with the ids of all batches in it. Readers add
+the batches that came later. Batches may come in any order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.tokens import default_path, token_counts
@@ -23,6 +28,17 @@ def inserts(counts: DataFrame) -> DataFrame:
     return counts.select(F.lit("insert").alias("op"), *KEYS, "n_tokens", "n_chars", F.lit(None).cast("long").alias("old_tokens"), F.lit(None).cast("long").alias("old_chars"))
 
 
+def deletes(counts: DataFrame) -> DataFrame:
+    """Change rows that take documents away."""
+    none = F.lit(None).cast("long")
+    return counts.select(F.lit("delete").alias("op"), *KEYS, none.alias("n_tokens"), none.alias("n_chars"), F.col("n_tokens").alias("old_tokens"), F.col("n_chars").alias("old_chars"))
+
+
+def revisions(counts: DataFrame, old_tokens: Column) -> DataFrame:
+    """Change rows that put the counts in the place of an older number of tokens."""
+    return counts.select(F.lit("revise").alias("op"), *KEYS, "n_tokens", "n_chars", old_tokens.cast("long").alias("old_tokens"), F.col("n_chars").alias("old_chars"))
+
+
 def deltas(changes: DataFrame) -> DataFrame:
     """Signed sums by group of changes: inserts count their new figures, deletes their old ones, revisions the difference.
 
@@ -42,7 +58,7 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """Committed deltas below a folder."""
+    """Committed deltas and maintained totals below a folder."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -52,30 +68,78 @@ class Ledger:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _names(self, kind: str) -> list[str]:
+        """Names of committed folders of a kind, from one listing."""
+        fs, p = self._fs(f"{self.path}/{kind}=*/_SUCCESS")
+        found = fs.globStatus(p)
+        return sorted(s.getPath().getParent().getName().removeprefix(f"{kind}=") for s in found or [])
+
+    def _publish(self, rows: DataFrame, name: str) -> bool:
+        """Write aside, then move in one step; False if another writer was first."""
+        aside = f"{self.path}/.{uuid.uuid4().hex}"
+        rows.write.parquet(aside)
+        sc = self.spark.sparkContext
+        fs, source = self._fs(aside)
+        _, target = self._fs(f"{self.path}/{name}")
+        context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+        options = sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(source, target, options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+                raise
+            fs.delete(source, True)
+            return False
+        return True
+
     def committed(self, batch_id: str) -> bool:
         fs, p = self._fs(f"{self.path}/batch={batch_id}/_SUCCESS")
         return fs.exists(p)
 
-    def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Apply a batch once; False if it was there already."""
-        if self.committed(batch_id):
-            return False
-        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        return True
+    def commit(self, batch_id: str, changes: DataFrame, verify: bool = False) -> bool:
+        """Apply a batch once; False if it was there already. With `verify`, a batch of other content under a committed id is an error."""
+        if not self.committed(batch_id):
+            return self._publish(deltas(changes), f"batch={batch_id}")
+        if verify:
+            known, now = self._rows([f"batch={batch_id}"]), deltas(changes)
+            if not known.exceptAll(now).union(now.exceptAll(known)).isEmpty():
+                raise ValueError(f"batch {batch_id} is committed with other content")
+        return False
 
     def batches(self) -> list[str]:
-        """Ids of the committed batches: one short name a batch, listed from the folder."""
-        fs, p = self._fs(self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(b for b in (n.removeprefix("batch=") for n in names if n.startswith("batch=")) if self.committed(b))
+        """Ids of the committed batches."""
+        return self._names("batch")
 
-    def totals(self) -> DataFrame:
-        """The keys with docs, tokens and chars; groups that have come down to nothing are left out."""
+    def _rows(self, names: list[str]) -> DataFrame:
         schema = ", ".join([*(f"{k} string" for k in KEYS), *(f"{m} long" for m in MEASURES)])
-        paths = [f"{self.path}/batch={b}" for b in self.batches()]
-        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{n}" for n in names)) if names else self.spark.createDataFrame([], schema)
+
+    def _state(self) -> tuple[list[str], list[str]]:
+        """Folders whose sums are the totals, and the ids of the batches in the maintained ones: the latest version, and batches that came later."""
+        versions, batches = self._names("totals"), self.batches()
+        if not versions:
+            return [f"batch={b}" for b in batches], []
+        held = [r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/held={versions[-1]}").collect()]  # one name a batch
+        return [f"totals={versions[-1]}", *(f"batch={b}" for b in batches if b not in set(held))], held
+
+    def maintain(self) -> None:
+        """Add the batches committed since to the maintained totals."""
+        folders, _ = self._state()
+        batches, versions = self.batches(), self._names("totals")
+        if not [f for f in folders if f.startswith("batch=")]:
+            return
+        version = f"{int(versions[-1]) + 1 if versions else 0:012d}"
+        # the batches' names first: totals without them are never read
+        if self._publish(self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1), f"held={version}"):
+            self._publish(self._sums(self._rows(folders)), f"totals={version}")
+
+    def _sums(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy(*KEYS).agg(*(F.sum(m).alias(m) for m in MEASURES)).where("docs <> 0 or tokens <> 0 or chars <> 0")
 
+    def totals(self) -> DataFrame:
+        """The keys with docs, tokens and chars; groups that have come down to nothing are left out."""
+        return self._sums(self._rows(self._state()[0]))
+
 
 def document_counts(docs: DataFrame, version: str, tokenizer: str | None = None) -> DataFrame:
     """doc_id, source, lang, tokenizer_version, n_tokens and n_chars (code points) of every document."""

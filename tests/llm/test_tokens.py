@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessella.llm import common, dac, rollups, tokens
+from tessella.llm import common, dac, queries, rollups, tokens
 from tests.llm.helpers import corpus, documents
 
 TOKENIZER = Tokenizer.from_file(tokens.default_path())
@@ -110,8 +110,30 @@ def test_ledger_is_idempotent_and_additive(spark, tmp_path):
     expect["s9", "de", "v2"] = [1, 7, 9]
     del expect[None, "en", "v1"]
     assert read() == expect
-    # a write that was cut off has no commit marker and is done anew
-    (tmp_path / "ledger" / "batch=two" / "_SUCCESS").unlink()
-    assert not ledger.committed("two") and ledger.commit("two", changes) and read() == expect
+    # maintained totals, and batches that come after them
+    ledger.maintain()
+    assert read() == expect and ledger._state()[0] == ["totals=000000000000"]
+    ledger.maintain()
+    ledger.commit("three", rollups.deletes(counts))
+    assert ledger._state()[0] == ["totals=000000000000", "batch=three"]
+    late = read()
+    ledger.maintain()
+    assert read() == late and ("s9", "de", "v2") in late and ledger._names("totals") == ["000000000000", "000000000001"]
+    # an id names its content, and of two writers the first one counts
+    with pytest.raises(ValueError):
+        ledger.commit("two", changes.limit(1), verify=True)
+    assert not ledger.commit("two", changes, verify=True) and not ledger._publish(rollups.deltas(changes), "batch=two")
+    # a write that was cut off is not read
+    (tmp_path / "ledger" / "batch=cut").mkdir()
+    assert not ledger.committed("cut") and read() == late
     with pytest.raises(Exception, match="unknown op"):
         rollups.deltas(changes.replace("insert", "upsert", subset=["op"])).collect()
+
+
+def test_query_of_counts_equals_plain_sums(spark):
+    got = {(r["source"], r["lang"]): (r["docs"], r["tokens"], r["chars"]) for r in queries.op4_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        n, t, c = want.get((r["source"], r["lang"]), (0, 0, 0))
+        want[r["source"], r["lang"]] = n + 1, t + len(TOKENIZER.encode(r["text"] or "", add_special_tokens=False).ids), c + len(r["text"] or "")
+    assert got == want
