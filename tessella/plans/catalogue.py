@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessella.plans import inference, matching, ordering, products, quoting, texts
+from tessella.plans import cleaning, inference, matching, ordering, products, quoting, texts
 
-MODULES = (quoting, products, matching, ordering, texts, inference)
+MODULES = (quoting, products, matching, ordering, texts, inference, cleaning)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
