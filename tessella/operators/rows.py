@@ -70,7 +70,7 @@ def row_class(text: Column, name_col: int | None = None) -> Column:
 
 def section_title(joined: Column) -> Column:
     """A section row's text without its number."""
-    return F.trim(F.regexp_replace(joined, r"^(?:[IVX]+|[A-Z])[.)]\s*", ""))
+    return F.trim(F.regexp_replace(joined, r"(?i)^(?:[IVX]+|[A-Z])[.)]\s*", ""))
 
 
 def with_sections(rows: DataFrame, sheet: str, order: str, kind: str = "class") -> DataFrame:

@@ -146,7 +146,7 @@ select id, CASE WHEN len(parts) <= 3 THEN substr(feature, 1, 50) ELSE parts[1] |
   CASE WHEN len(a) > 0 THEN a[-1] WHEN len(b) > 0 THEN b[-1] WHEN len(c) > 0 THEN c[-1] ELSE '' END as hidden,
   CASE WHEN {S.flat('name')} = '' or contains({S.plain('specs')}, {S.plain('name')}) THEN specs WHEN specs = '' THEN {S.flat('name')} ELSE specs || ' · ' || {S.flat('name')} END as specs,
   {_COLOUR} as colour, {_SPECS_ONLY} as specs_only, {_GENERIC} as generic from p""",
-    "row_classes": f"""with {_SHEET} select sheet, idx, class, coalesce(last_value(CASE WHEN class = 'section' THEN trim(regexp_replace(x, '^(?:[IVX]+|[A-Z])[.)]\\s*', '')) END ignore nulls)
+    "row_classes": f"""with {_SHEET} select sheet, idx, class, coalesce(last_value(CASE WHEN class = 'section' THEN trim(regexp_replace(x, '(?i)^(?:[IVX]+|[A-Z])[.)]\\s*', '')) END ignore nulls)
   over (partition by sheet order by idx rows between unbounded preceding and current row), '') as section from k""",
     "sheet_stats": f"""with {_SHEET} select sheet, count(*) as n_rows, {', '.join(f"count(*) filter (class = '{c}') as n_{c}" for c in R.CLASSES)}, count(*) filter (class not in ('product', 'section')) as n_skipped from k group by 1""",
 }

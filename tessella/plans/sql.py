@@ -11,7 +11,7 @@ def quoted(s: str) -> str:
 
 def pick(key: str, texts: list[str]) -> str:
     """One of the texts by a whole number, in either dialect."""
-    return f"CASE {key} % {len(texts)} " + " ".join(f"WHEN {i} THEN {quoted(t)}" for i, t in enumerate(texts)) + " END"
+    return f"CASE ({key}) % {len(texts)} " + " ".join(f"WHEN {i} THEN {quoted(t)}" for i, t in enumerate(texts)) + " END"
 
 
 def flat(x: str) -> str:
