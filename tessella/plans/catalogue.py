@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessella.plans import bom, cleaning, inference, learned, matching, ordering, pages, products, quoting, texts
+from tessella.plans import assembly, bom, cleaning, inference, learned, matching, ordering, pages, products, quoting, texts
 
-MODULES = (quoting, products, matching, ordering, texts, inference, cleaning, bom, learned, pages)
+MODULES = (quoting, products, matching, ordering, texts, inference, cleaning, bom, learned, pages, assembly)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
