@@ -81,4 +81,19 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_token_files, op4_token_counts, op5_embedding_dup, op6_packing, op7_mixing, op8_url_filter, op9_fingerprints, op10_lm_score)}
-ORACLES: dict[str, str] = {}
+#: Plain SQL over all pairs, for small tables; the others need a trained model, hashes, a scheduler or a tokenizer.
+_REACH = """reach(a, b) as (select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a), lowest as (select a, least(a, min(b)) as low from reach group by a)"""
+ORACLES: dict[str, str] = {
+    "op2_near_dup": f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) as s from w),
+n as (select doc_id, len(s) as n from s), e as (select doc_id, unnest(s) as g from s),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as m from e x join e y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+links as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * m >= 80 * (x.n + y.n - m)),
+both_ways as (select a, b from links union all select b, a from links), {_REACH}
+select n.doc_id, CAST(n.n AS BIGINT) as n_shingles, coalesce(low, n.doc_id) as component_id, coalesce(low, n.doc_id) = n.doc_id as kept from n left join lowest on a = n.doc_id""",
+    "op5_embedding_dup": f"""with recursive v as (select vec_id, CAST(embedding AS DOUBLE[]) as e from embeddings where embedding is not null and len(embedding) > 0),
+g as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select x.vec_id as a, y.vec_id as b from g x join g y on x.vec_id < y.vec_id and len(x.e) = len(y.e) where list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.95::DOUBLE),
+both_ways as (select a, b from links union all select b, a from links), {_REACH}, counts as (select a, count(*) as c from both_ways group by 1)
+select vec_id, coalesce(c, 0) as n_links, coalesce(low, vec_id) as component_id, coalesce(low, vec_id) = vec_id as kept from embeddings left join lowest l on l.a = vec_id left join counts k on k.a = vec_id""",
+}
