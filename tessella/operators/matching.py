@@ -7,7 +7,7 @@ bigrams, two sets with Dice above t share one of the first n - ceil(n t / (2 - t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import learning_key
@@ -21,19 +21,27 @@ def last_by_key(catalog: DataFrame, key: Column, product: str = "id") -> DataFra
 
 
 def bigrams(key: Column) -> Column:
-    """Distinct pairs of neighbouring characters in a fixed order that does not depend on the text."""
+    """Distinct pairs of neighbouring characters."""
     pairs = F.when(F.length(key) > 1, F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substring(key, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array_sort(F.transform(F.array_distinct(pairs), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda s: s["g"])
+    return F.array_distinct(pairs)
 
 
 def fuzzy_top1(names: DataFrame, catalog: DataFrame, least: float = DICE) -> DataFrame:
-    """(key, product, score) for names (key) against catalogue keys (key, product): Dice of bigram sets above `least`, best first, then lowest product."""
+    """(key, product, score) for names (key) against catalogue keys (key, product): Dice of bigram sets above `least`, best first, then lowest product.
 
-    def prefixed(rows: DataFrame) -> DataFrame:
-        sets = rows.withColumn("grams", bigrams(F.col("key"))).withColumn("n", F.size("grams")).where("n > 0")
+    Bigrams are ordered by the number of catalogue keys that have them, so prefixes hold the rare ones.
+    """
+    firsts = catalog.groupBy("key").agg(F.min("product").alias("product"))
+    right = firsts.select("key", "product", F.explode(bigrams(F.col("key"))).alias("g"))
+    left = names.select("key").distinct().select("key", F.explode(bigrams(F.col("key"))).alias("g"))
+    counts = right.groupBy("g").agg(F.count("*").alias("among"))
+
+    def prefixed(grams: DataFrame, *by: str) -> DataFrame:
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("among", F.lit(0)).alias("among"), "g")))
+        sets = grams.join(counts, "g", "left").groupBy(*by).agg(F.transform(order, lambda s: s["g"]).alias("grams")).withColumn("n", F.size("grams"))
         return sets.withColumn("head", F.explode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * (least / (2 - least)) - 1e-9) + 1).cast("int"))))
 
-    left, right = prefixed(names.select("key").distinct()).alias("l"), prefixed(catalog.select("key", "product")).alias("r")
+    left, right = prefixed(left, "key").alias("l"), prefixed(right, "key", "product").alias("r")
     fits = F.least("l.n", "r.n") * 2 > least * (F.col("l.n") + F.col("r.n"))
     pairs = left.join(right, (F.col("l.head") == F.col("r.head")) & fits)
     # a pair is checked at the first prefix element that it shares
@@ -51,8 +59,9 @@ def overlap_top(names: DataFrame, catalog: DataFrame, k: int = 5, least: float =
     right = catalog.select(F.col("name").alias("other"), words("name").alias("w")).select("other", F.size("w").alias("m"), F.explode("w").alias("word"))
     common = left.join(right, "word").groupBy("name", "other").agg(F.count("*").alias("common"), F.min("n").alias("n"), F.min("m").alias("m"))
     scored = common.select("name", "other", (F.col("common") / F.least("n", "m")).alias("overlap")).where(F.col("overlap") >= least)
-    best = scored.groupBy("name").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("minus"), "other"))), 1, k).alias("best"))
-    return best.select("name", F.posexplode("best").alias("at", "b")).select("name", "b.other", (-F.col("b.minus")).alias("overlap"), (F.col("at") + 1).cast("long").alias("rank"))
+    # the rank's limit is applied before the shuffle too
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("overlap"), "other"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("name", "other", "overlap", F.col("rank").cast("long").alias("rank"))
 
 
 def cascade(items: DataFrame, catalog: DataFrame, corrections: DataFrame) -> DataFrame:
