@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessella.plans import assembly, bom, cleaning, columns, inference, learned, matching, ordering, pages, products, quoting, takeoff, texts
+from tessella.plans import assembly, bom, cleaning, columns, imports, inference, learned, matching, ordering, pages, products, quoting, takeoff, texts
 
-MODULES = (quoting, products, matching, ordering, texts, inference, cleaning, columns, bom, takeoff, learned, pages, assembly)
+MODULES = (quoting, products, matching, ordering, texts, inference, cleaning, columns, imports, bom, takeoff, learned, pages, assembly)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
