@@ -214,6 +214,25 @@ def list_column(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+class Recent(dict):
+    """A dictionary of bounded size: when half is full, only what is met again stays."""
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self.half, self.old = size // 2, {}
+
+    def find(self, key):
+        value = self.old.get(key)
+        return value if value is None else self.put(key, value)
+
+    def put(self, key, value):
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def text_key(column):
     """A key of a text's words: equal for texts with the same lower-cased words in the same order."""
     words = F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), r"[\x20\x09-\x0D]+", " ")

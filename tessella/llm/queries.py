@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import dac, embed_dup, fingerprints, lm_score, mixing, near_dup, packing, rollups, toxicity, url_model
+from tessella.llm import align, bpe, dac, embed_dup, fingerprints, impact_search, lm_score, mixing, near_dup, packing, rollups, toxicity, url_model
 from tessella.llm.common import scratch_path, stage, text_key
 from tessella.llm.tokens import token_counts
 
@@ -80,7 +80,19 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_token_files, op4_token_counts, op5_embedding_dup, op6_packing, op7_mixing, op8_url_filter, op9_fingerprints, op10_lm_score)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_token_files, op4_token_counts, op5_embedding_dup, op6_packing, op7_mixing, op8_url_filter, op9_fingerprints, op10_lm_score, op11_bpe, op12_lexical_search, op13_alignment)}
 #: Plain SQL over all pairs, for small tables; the others need a trained model, hashes, a scheduler or a tokenizer.
 _REACH = """reach(a, b) as (select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a), lowest as (select a, least(a, min(b)) as low from reach group by a)"""
 ORACLES: dict[str, str] = {
@@ -96,4 +108,12 @@ g as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n
 links as (select x.vec_id as a, y.vec_id as b from g x join g y on x.vec_id < y.vec_id and len(x.e) = len(y.e) where list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.95::DOUBLE),
 both_ways as (select a, b from links union all select b, a from links), {_REACH}, counts as (select a, count(*) as c from both_ways group by 1)
 select vec_id, coalesce(c, 0) as n_links, coalesce(low, vec_id) as component_id, coalesce(low, vec_id) = vec_id as kept from embeddings left join lowest l on l.a = vec_id left join counts k on k.a = vec_id""",
+    "op12_lexical_search": """with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+totals as (select count(*) as nn, sum(len(w)) as ll from d where len(w) > 0),
+p as (select r, doc_id, n, t, count(*) as tf from (select r, doc_id, len(w) as n, unnest(w) as t from d) group by all),
+df as (select t, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) as weight from p, totals group by t),
+q as (select i, item_id, t, count(*) as reps from (select row_number() over () as i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as t from benchmark) group by all),
+s as (select i, item_id, r, doc_id, CAST(sum(reps * weight * ((1000000000 * tf) // (1000 * tf + 8 * CAST(25 + (75 * n * nn) // ll AS BIGINT)))) AS BIGINT) as score from q join df using (t) join p using (t), totals group by all),
+o as (select item_id, CAST(row_number() over (partition by i order by score desc, doc_id nulls last) AS INTEGER) as rank, doc_id, score from s where score > 0)
+select * from o where rank <= 10""",
 }
