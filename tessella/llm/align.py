@@ -8,10 +8,10 @@ the byte offsets at which they end. All that follows are Spark's own functions:
 * a pair of tokens is linked where their bytes overlap. Two tokens overlap in one run
   of bytes, which ends where one of them ends, so the links are the tokens of both
   sides that hold the last byte before each end; the token of each byte comes from
-  ``transform`` and ``sequence`` over the ends. Arrays of a text are linear in its bytes.
+  ``transform`` over the ends. Arrays of a text are linear in its bytes.
 
 Counts of linked pairs over all texts are joined back to the links. Texts are dealt
-into chunks of about 4 MB where they are read. Links lie in a table bucketed by chunk,
+into chunks of about 4 MB where they are read. Links lie as rows of a table bucketed by chunk,
 so counting a chunk's pairs, looking their totals up again and summing by text need
 no shuffle of links: what is shuffled are the distinct pairs of each chunk, at most
 once a chunk for the most frequent pair.
@@ -138,40 +138,65 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _steps(ends: Column) -> Column:
+    """Rising numbers as their differences, the first from 0."""
+    return F.zip_with(ends, F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(ends)), lambda e, before: e - before)
+
+
 def _token_of_byte(ends: Column) -> Column:
     """For each byte the place (from 0) of the token that holds it."""
-    return F.flatten(F.transform(ends, lambda e, k: F.array_repeat(k, e - F.when(k == 0, 0).otherwise(F.get(ends, k - 1)))))
+    return F.flatten(F.transform(_steps(ends), lambda size, k: F.array_repeat(k, size)))
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """Groups and links of each row of `token_ends`, whose arrays they replace.
+    """Groups of each row of `token_ends`: ``cuts_a`` and ``cuts_b`` count the tokens of both sides up to the end of each group.
 
-    ``groups`` is an array of (a, b), the ids of both sides in order; ``links`` an array of pairs as ``(a << 32) | b``, one for each overlap.
+    ``at_a`` and ``at_b`` (the place of each byte's token) and ``ends`` (of both sides, each once) serve `links`.
     """
-    ends = F.struct("a", "b", _token_of_byte(F.col("a_ends")).alias("at_a"), _token_of_byte(F.col("b_ends")).alias("at_b"), F.array_intersect("a_ends", "b_ends").alias("common"))
+    places = tokens.withColumns({"at_a": _token_of_byte(F.col("a_ends")), "at_b": _token_of_byte(F.col("b_ends"))})
+    known = F.struct("at_a", "at_b", F.array_intersect("a_ends", "b_ends").alias("common"))
 
-    def side(s: Column, name: str, k: Column) -> Column:
-        last = F.get(s[f"at_{name}"], F.get(s["common"], k) - 1)
-        before = F.when(k == 0, -1).otherwise(F.get(s[f"at_{name}"], F.get(s["common"], k - 1) - 1))
-        return F.slice(s[name], before + 2, last - before)
+    def cut(s: Column, c: str) -> Column:
+        return F.transform(s["common"], lambda e: F.get(s[f"at_{c}"], e - 1) + 1).alias(c)
 
-    def groups(s: Column) -> Column:
-        count = F.size(s["common"])
-        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda k: F.struct(side(s, "a", k).alias("a"), side(s, "b", k).alias("b")))
+    cuts = _let(known, lambda s: F.struct(cut(s, "a"), cut(s, "b")))
+    sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("a", "b")]
+    out = places.select("chunk", "row", "doc_id", *sizes, "a", "at_a", "b", "at_b", cuts.alias("cuts"), F.array_union("a_ends", "b_ends").alias("ends"))
+    return out.withColumns({"cuts_a": F.col("cuts.a"), "cuts_b": F.col("cuts.b")}).drop("cuts")
 
-    def linked(s: Column, e: Column) -> Column:
-        a, b = F.get(s["a"], F.get(s["at_a"], e - 1)), F.get(s["b"], F.get(s["at_b"], e - 1))
-        return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
-    out = _let(ends, lambda s: F.struct(groups(s).alias("groups"), F.transform(F.array_union("a_ends", "b_ends"), lambda e: linked(s, e)).alias("links")))
-    sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("a", "b")]
-    return tokens.select("chunk", "row", "doc_id", *sizes, out.alias("__out")).select("chunk", "row", "doc_id", "n_a", "n_b", "__out.groups", "__out.links")
+def groups() -> Column:
+    """The groups of an aligned row: an array of (a, b), the ids of both sides in order."""
+
+    def side(c: str) -> Column:
+        return _let(F.struct(c, f"cuts_{c}"), lambda s: F.zip_with(s[f"cuts_{c}"], _steps(s[f"cuts_{c}"]), lambda end, n: F.slice(s[c], end - n + 1, n)))
+
+    return F.zip_with(side("a"), side("b"), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+
 
+def group_text() -> Column:
+    """The groups of an aligned row as decimal ids: ``a1,a2|b1;a3|b2,b3``."""
 
-def group_text(groups: Column) -> Column:
-    """Groups as decimal ids: ``a1,a2|b1;a3|b2,b3``."""
-    return F.array_join(F.transform(groups, lambda g: F.concat(F.array_join(g["a"], ","), F.lit("|"), F.array_join(g["b"], ","))), ";")
+    def side(s: Column, c: str) -> Column:
+        def ids(end: Column, n: Column) -> Column:  # most groups have one token of a side
+            return F.when(n == 1, F.get(s[c], end - 1)).otherwise(F.array_join(F.slice(s[c], end - n + 1, n), ","))
+
+        return F.zip_with(s[f"cuts_{c}"], _steps(s[f"cuts_{c}"]), ids)
+
+    # ids become text once a row; lambdas run expression by expression, so they do as little as they can
+    known = F.struct(*(F.col(c).cast("array<string>").alias(c) for c in ("a", "b")), "cuts_a", "cuts_b")
+    return _let(known, lambda s: F.array_join(F.zip_with(side(s, "a"), side(s, "b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";"))
+
+
+def links(aligned: DataFrame, *others: str) -> DataFrame:
+    """A row for each overlap of two tokens: chunk, row, ``pair`` as ``(a << 32) | b``; of a text's rows the first also has its ``others``.
+
+    A text without links has one row, whose pair is null.
+    """
+    rows = aligned.select("chunk", "row", "a", "at_a", "b", "at_b", *others, F.posexplode_outer("ends").alias("pos", "end"))
+    a, b = (F.get(F.col(c), F.get(F.col(f"at_{c}"), F.col("end") - 1)).cast("long") for c in ("a", "b"))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    return rows.select("chunk", "row", F.shiftleft(a, 32).bitwiseOR(b).alias("pair"), first.alias("first"), *(F.when(first, F.col(c)).alias(c) for c in others))
 
 
 def alignment_digests(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
@@ -181,25 +206,26 @@ def alignment_digests(docs: DataFrame, paths: tuple[str, str] | None = None) ->
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    digest = F.when(F.size("cuts_a") > 0, F.sha2(group_text(), 256)).otherwise("")
     aligned = align(token_ends(docs, paths))
-    digest = F.when(F.size("groups") > 0, F.sha2(group_text(F.col("groups")), 256)).otherwise("")
-    kept = aligned.select("chunk", "row", "doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"), digest.alias("groups_sha256"), "links")
+    aligned = aligned.select("chunk", "row", "doc_id", "n_a", "n_b", "a", "at_a", "b", "at_b", "ends", F.size("cuts_a").cast("long").alias("n_groups"), F.size("ends").cast("long").alias("n_links"), digest.alias("groups_sha256"))
+    of_text = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     table = f"token_links_{uuid.uuid4().hex}"
-    kept.write.bucketBy(parts, "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    links(aligned, *of_text).write.bucketBy(parts, "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
     keys = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
     try:
         # a table dealt by chunk serves joins by chunk and pair as it lies
         spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-        rows = spark.table(table)
-        links = rows.select("chunk", "row", F.explode("links").alias("pair"))
-        pairs = stage(links.groupBy("chunk", "pair").agg(F.count("*").alias("n")), "pairs")
+        texts = spark.table(table).where("first").select("chunk", "row", *of_text)
+        linked = spark.table(table).where("pair is not null").select("chunk", "row", "pair")
+        pairs = stage(linked.groupBy("chunk", "pair").agg(F.count("*").alias("n")), "pairs")
         counts = pairs.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
         counts = stage(counts, "counts")
         best = counts.groupBy("b").agg(F.max("count").alias("most"))  # at most one row an id of B's vocabulary
         ranked = counts.join(F.broadcast(best), "b").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
         known = pairs.join(ranked, "pair").select("chunk", "pair", "count", "best")
-        sums = links.join(known.hint("shuffle_hash"), ["chunk", "pair"]).groupBy("chunk", "row").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-        out = rows.drop("links").join(sums, ["chunk", "row"], "left")
+        sums = linked.join(known.hint("shuffle_hash"), ["chunk", "pair"]).groupBy("chunk", "row").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        out = texts.join(sums, ["chunk", "row"], "left")
         out = out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256")
         return stage(out, "aligned")
     finally:

@@ -173,10 +173,11 @@ def test_alignment_of_no_documents(spark):
 
 def test_groups_and_links_of_a_text(spark):
     docs = documents(spark, [(1, "tokenizers align")])
-    row = align.align(align.token_ends(docs)).first()
+    aligned = align.align(align.token_ends(docs))
+    row, pairs = aligned.select("*", align.groups().alias("groups")).first(), [r.pair for r in align.links(aligned).collect()]
     a = [k for g in row.groups for k in g.a]
     assert a == Tokenizer.from_file(A_PATH).encode(" tokenizers align", add_special_tokens=False).ids
-    assert {k >> 32 for k in row.links} == set(a) and row.n_a == len(a)
+    assert {k >> 32 for k in pairs} == set(a) and row.n_a == len(a) and len(pairs) == len(row.ends)
 
 
 def test_sessions_settings_come_back(spark):
