@@ -211,11 +211,15 @@ def alignment_digests(docs: DataFrame, paths: tuple[str, str] | None = None) ->
     aligned = aligned.select("chunk", "row", "doc_id", "n_a", "n_b", "a", "at_a", "b", "at_b", "ends", F.size("cuts_a").cast("long").alias("n_groups"), F.size("ends").cast("long").alias("n_links"), digest.alias("groups_sha256"))
     of_text = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     table = f"token_links_{uuid.uuid4().hex}"
-    links(aligned, *of_text).write.bucketBy(parts, "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
-    keys = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    own = {
+        "spark.sql.maxConcurrentOutputFileWriters": str(parts),  # a task's few chunks go to their buckets without sorting the links
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",  # a table dealt by chunk serves joins by chunk and pair as it lies
+    }
+    before = {key: spark.conf.get(key) for key in own}
     try:
-        # a table dealt by chunk serves joins by chunk and pair as it lies
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        for key, value in own.items():
+            spark.conf.set(key, value)
+        links(aligned, *of_text).write.bucketBy(parts, "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
         texts = spark.table(table).where("first").select("chunk", "row", *of_text)
         linked = spark.table(table).where("pair is not null").select("chunk", "row", "pair")
         pairs = stage(linked.groupBy("chunk", "pair").agg(F.count("*").alias("n")), "pairs")
@@ -229,5 +233,6 @@ def alignment_digests(docs: DataFrame, paths: tuple[str, str] | None = None) ->
         out = out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256")
         return stage(out, "aligned")
     finally:
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", keys)
+        for key, value in before.items():
+            spark.conf.set(key, value)
         spark.sql(f"DROP TABLE IF EXISTS {table}")

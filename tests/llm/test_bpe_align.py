@@ -181,7 +181,7 @@ def test_groups_and_links_of_a_text(spark):
 
 
 def test_sessions_settings_come_back(spark):
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key)
+    keys = ["spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.maxConcurrentOutputFileWriters"]
+    before = [spark.conf.get(k) for k in keys]
     queries.QUERIES["op13_alignment"](spark, "/root/testdata/sf0.001")
-    assert spark.conf.get(key) == before and not [t for t in spark.catalog.listTables() if t.name.startswith("token_links")]
+    assert [spark.conf.get(k) for k in keys] == before and not [t for t in spark.catalog.listTables() if t.name.startswith("token_links")]
