@@ -123,14 +123,18 @@ class Ledger:
         return [f"totals={versions[-1]}", *(f"batch={b}" for b in batches if b not in set(held))], held
 
     def maintain(self) -> None:
-        """Add the batches committed since to the maintained totals."""
-        folders, _ = self._state()
-        batches, versions = self.batches(), self._names("totals")
-        if not [f for f in folders if f.startswith("batch=")]:
+        """Add the batches committed since to the maintained totals.
+
+        What is added and what is named as held come from one listing, so a batch that is committed meanwhile is left for the next time.
+        A version whose totals were lost with the driver is passed over.
+        """
+        folders, held = self._state()
+        added = [f.removeprefix("batch=") for f in folders if f.startswith("batch=")]
+        if not added:
             return
-        version = f"{int(versions[-1]) + 1 if versions else 0:012d}"
+        version = f"{max(map(int, self._names('totals') + self._names('held')), default=-1) + 1:012d}"
         # the batches' names first: totals without them are never read
-        if self._publish(self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1), f"held={version}"):
+        if self._publish(self.spark.createDataFrame([(b,) for b in held + added], "batch string").coalesce(1), f"held={version}"):
             self._publish(self._sums(self._rows(folders)), f"totals={version}")
 
     def _sums(self, rows: DataFrame) -> DataFrame:

@@ -137,3 +137,42 @@ def test_query_of_counts_equals_plain_sums(spark):
         n, t, c = want.get((r["source"], r["lang"]), (0, 0, 0))
         want[r["source"], r["lang"]] = n + 1, t + len(TOKENIZER.encode(r["text"] or "", add_special_tokens=False).ids), c + len(r["text"] or "")
     assert got == want
+
+
+def _ledger(spark, path):
+    rows = lambda k: spark.createDataFrame([(k, "s", "en", "v", 5, 10)], "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, n_chars long")
+    return rollups.Ledger(spark, f"file://{path}/ledger"), lambda k: rollups.inserts(rows(k))
+
+
+def test_a_batch_committed_during_maintenance_is_not_lost(spark, tmp_path):
+    ledger, batch = _ledger(spark, tmp_path)
+    ledger.commit("a", batch(1))
+    publish = ledger._publish
+
+    def late(rows, name):
+        if name.startswith("held="):
+            ledger._publish = publish
+            ledger.commit("b", batch(2))
+        return publish(rows, name)
+
+    ledger._publish = late
+    ledger.maintain()
+    assert ledger.totals().first().docs == 2
+    ledger.maintain()
+    assert ledger.totals().first().docs == 2 and ledger._state()[0] == ["totals=000000000001"]
+
+
+def test_maintenance_goes_on_after_a_lost_driver(spark, tmp_path):
+    ledger, batch = _ledger(spark, tmp_path)
+    ledger.commit("a", batch(1))
+    publish = ledger._publish
+    ledger._publish = lambda rows, name: publish(rows, name) if name.startswith("held=") else 1 / 0
+    try:
+        ledger.maintain()
+    except ZeroDivisionError:
+        pass
+    ledger._publish = publish
+    assert ledger.totals().first().docs == 1 and not ledger._names("totals")
+    ledger.commit("b", batch(2))
+    ledger.maintain()
+    assert ledger.totals().first().docs == 2 and ledger._state()[0] == ["totals=000000000001"]
