@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.functions.patterns import first_of, plain
+from tessella.functions.products import quantity
 from tessella.functions.text import BOUNDARY, clean_text
 
 # Header words by field; words of technical goods, of rows that are none, of areas; names that say nothing.
@@ -82,15 +83,11 @@ def model_of(x: Column) -> Column:
 
 
 def bare_name(x: Column, model: Column) -> Column:
-    """Without numbering, unit tags and the model."""
+    """Without numbering, unit tags and the first place of the model as a word of its own."""
     s = F.regexp_replace(clean_text(x), r"^[0-9]+[.)]\s*", "")
     s = F.trim(F.regexp_replace(s, "(?iu)" + BOUNDARY + "(SL|QTY|DVT|ĐVT)" + BOUNDARY + r"\s*[:：]?\s*[0-9]*\s*", ""))
-    at = F.instr(F.upper(s), F.upper(model))
-    end = at + F.length(model)
-    edge = lambda c: ~c.rlike("[A-Za-z0-9_]")
-    inside = (at > 0) & edge(F.substring(s, at - 1, F.lit(1))) & edge(F.substring(s, end, F.lit(1)))
-    without = F.concat(F.substring(s, F.lit(1), at - 1), F.substring(s, end, F.length(s)))
-    cut = F.trim(F.regexp_replace(F.when(inside | ((at == 1) & edge(F.substring(s, end, F.lit(1)))), without).otherwise(s), "[-–—|]+$", ""))
+    first = F.concat(F.lit("(?is)^(.*?)" + BOUNDARY + r"\Q"), model, F.lit(r"\E" + BOUNDARY))
+    cut = F.trim(F.regexp_replace(F.regexp_replace(s, first, F.lit("$1")), "[-–—|]+$", ""))
     return F.when(model == "", s).when(F.upper(s) == F.upper(model), "").otherwise(cut)
 
 
@@ -161,10 +158,12 @@ def header_score(text: Column) -> Column:
 
 
 def area_of(text: Column, qty_col: int | None = None) -> Column:
-    """The label of a row of up to three cells that names an area, or null."""
+    """The label of a row of up to three cells that names an area, or null; a row with a quantity in that column is none."""
     filled = F.filter(F.transform(text, lambda t: clean_text(t)), lambda t: t != "")
     whole, head = plain(F.array_join(filled, " ")), F.get(filled, F.lit(0))
     named = has_any(whole, AREA_WORDS) | ((F.length(head) >= 4) & (head == F.upper(head))) | (has_any(whole, TECHNICAL) & (F.length(head) < 60))
     label = F.coalesce(F.get(F.filter(filled, lambda t: ~t.rlike("(?i)^(?:[IVXLCDM]+|[0-9]+)$")), F.lit(0)), head)
     fits = F.size(filled).between(1, 3) & (whole != "") & ~has_any(whole, NO_PRODUCT) & named
+    if qty_col is not None:
+        fits = fits & quantity(F.get(text, F.lit(qty_col))).isNull()
     return F.when(fits, F.regexp_replace(label, r"^[0-9]+[.)]\s*", ""))
