@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessella.plans import assembly, bom, chunks, cleaning, columns, imports, inference, learned, matching, ordering, pages, products, quoting, takeoff, texts, web
+from tessella.plans import assembly, bom, chunks, cleaning, columns, imports, inference, learned, matching, ordering, pages, products, quoting, recovered, takeoff, texts, web
 
-MODULES = (quoting, products, matching, ordering, texts, inference, cleaning, columns, imports, bom, takeoff, learned, pages, chunks, assembly, web)
+MODULES = (quoting, products, matching, ordering, texts, inference, cleaning, columns, imports, bom, takeoff, learned, pages, chunks, assembly, web, recovered)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
