@@ -93,7 +93,7 @@ def bad_category(x: Column) -> Column:
     return (raw == "") | (F.length(raw) > 60) | hits(raw, BAD_CATEGORY) | hits(plain(raw), BAD_CATEGORY)
 
 
-def infer_category(category: Column, name: Column, sku: Column, specs: Column, place: Column, supplier: Column, raw: Column, fallback: str = "Chung") -> Column:
+def infer_category(category: Column, name: Column, sku: Column, specs: Column, place: Column, supplier: Column, raw: Column, fallback: str | Column = "Chung") -> Column:
     """A good category as it is; else the first rule that fits name, code, place or supplier; else with specifications and raw text; else the fallback."""
     own = clean_text(category)
     near, all_of = joined(name, sku, place, supplier), joined(name, sku, specs, place, supplier, raw)
