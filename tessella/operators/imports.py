@@ -34,11 +34,11 @@ CHEAP, DEAR = "pho thong|tiet kiem|basic|tp link|kingled|imou|osuno", "cao cap|p
 LEAST_SCORE = 0.18
 
 
-def catalog_columns(headers: DataFrame) -> DataFrame:
+def catalog_columns(headers: DataFrame, patterns: list[tuple[str, str]] = CATALOG_FIELDS) -> DataFrame:
     """(sheet, a column or null for each field) of header rows (sheet, text): from left to right, each header to one field."""
-    fields = [f for f, _ in CATALOG_FIELDS]
+    fields = [f for f, _ in patterns]
     label = lambda t: F.trim(F.lower(F.coalesce(t, F.lit(""))))
-    cells = F.transform("text", lambda t, i: F.struct(i.alias("col"), *(hits(label(t), p).alias(f) for f, p in CATALOG_FIELDS)))
+    cells = F.transform("text", lambda t, i: F.struct(i.alias("col"), *(hits(label(t), p).alias(f) for f, p in patterns)))
     start = F.struct(*(F.lit(None).cast("int").alias(f) for f in fields))
 
     def step(state: Column, cell: Column) -> Column:
