@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,21 +37,24 @@ LEAST_SCORE = 0.18
 
 
 def catalog_columns(headers: DataFrame, patterns: list[tuple[str, str]] = CATALOG_FIELDS) -> DataFrame:
-    """(sheet, a column or null for each field) of header rows (sheet, text): from left to right, each header to one field."""
-    fields = [f for f, _ in patterns]
+    """(sheet, a column or null for each field) of header rows (sheet, text): from left to right, each header to one field.
+
+    Fields are bits of a number, so a step over a header is the lowest bit that fits and is not taken, however
+    many fields there are. Equal header rows are mapped once.
+    """
+    bit = {f: 1 << i for i, (f, _) in enumerate(patterns)}
     label = lambda t: F.trim(F.lower(F.coalesce(t, F.lit(""))))
-    cells = F.transform("text", lambda t, i: F.struct(i.alias("col"), *(hits(label(t), p).alias(f) for f, p in patterns)))
-    start = F.struct(*(F.lit(None).cast("int").alias(f) for f in fields))
-
-    def step(state: Column, cell: Column) -> Column:
-        taken, out = F.lit(False), []
-        for f in fields:
-            mine = ~taken & state[f].isNull() & cell[f]
-            out.append(F.when(mine, cell["col"]).otherwise(state[f]).alias(f))
-            taken = taken | mine
-        return F.struct(*out)
-
-    return headers.select("sheet", cells.alias("cells")).select("sheet", F.aggregate("cells", start, step).alias("m")).select("sheet", "m.*")
+    fits = F.transform("text", lambda t: reduce(lambda n, fp: n + F.when(hits(label(t), fp[1]), bit[fp[0]]).otherwise(0), patterns, F.lit(0)))
+    start = F.struct(F.lit(0).alias("taken"), F.array().cast("array<int>").alias("given"))
+
+    def step(state: Column, fit: Column) -> Column:
+        free = fit.bitwiseAND(F.bitwise_not(state["taken"]))
+        lowest = free.bitwiseAND(-free)
+        return F.struct(state["taken"].bitwiseOR(lowest).alias("taken"), F.concat(state["given"], F.array(lowest)).alias("given"))
+
+    maps = headers.select("text").distinct().select("text", fits.alias("fits")).select("text", F.aggregate("fits", start, step)["given"].alias("given"))
+    maps = maps.select(F.col("text").alias("header"), *(F.nullif(F.array_position("given", b) - 1, F.lit(-1)).cast("int").alias(f) for f, b in bit.items()))
+    return headers.join(maps, F.col("text").eqNullSafe(F.col("header"))).select("sheet", *bit)
 
 
 def _without(x: Column, pattern: str, by: str = " ") -> Column:

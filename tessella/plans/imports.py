@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import cleaning as C
 from tessella.operators import imports as I
 from tessella.plans import sql as S
-from tessella.plans.quoting import table
+from tessella.plans.quoting import spread, table
 
 WORDS = [
     "Tên hàng", "Mã SP", "MÔ TẢ sản phẩm", "Model", "Nhóm", "Hãng", "ĐVT", "Giá mới", "Giá niêm yết", "Giá bán lẻ thấp nhất", "Giá đại lý", "Đơn giá", "Thông số", "Hình ảnh", "", "STT", "Quy cách", "Xuất xứ", "ảnh", "Price",
@@ -27,7 +27,7 @@ _PRODUCTS = f"p_partkey as product, p_name as name, p_brand as sku, {SELLER} as
 
 
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.catalog_columns(table(spark, sf_dir, "part").selectExpr("p_partkey as sheet", f"array({', '.join(CELLS)}) as text"))
+    return I.catalog_columns(spread(table(spark, sf_dir, "part"), "p_partkey").selectExpr("p_partkey as sheet", f"array({', '.join(CELLS)}) as text"))
 
 
 def file_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:

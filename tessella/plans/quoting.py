@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has: a file of a few MB is one split, however much work its rows are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def priced_lines(spark: SparkSession, sf_dir: str, markup: float = MARKUP) -> DataFrame:
     """Quote lines with their product's sale price; lines whose product is missing are dropped."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_partkey", "l_quantity")
