@@ -18,7 +18,9 @@ ENTITIES = {
 BUTTONS = "mua ngay|thêm vào giỏ hàng|xem nhanh|chi tiết|add to cart|sale|new"
 GROUPED = r"[0-9]{1,3}(?:[.,][0-9]{3}){1,5}"
 CURRENCY = r"(?:₫|đ|vnd|vnđ|usd|\$)"
-PRICE = rf"(?:{CURRENCY})?[{SPACES}]*(?:{GROUPED}|[0-9]{{5,12}})(?:[{SPACES}]*{CURRENCY})?"
+# Digits behind a letter are a code's (K10024), unless a currency stands before or behind them.
+NO_CODE = r"(?<![A-Za-z](?:[0-9][0-9.,]{0,24})?)"
+PRICE = rf"(?:(?:{CURRENCY})[{SPACES}]*(?:{GROUPED}|[0-9]{{5,12}})(?:[{SPACES}]*{CURRENCY})?|[{SPACES}]*(?:{GROUPED}|[0-9]{{5,12}})[{SPACES}]*{CURRENCY}|[{SPACES}]*{NO_CODE}(?:{GROUPED}|[0-9]{{5,12}}))"
 PRICED = rf"khoảng[{SPACES}]*giá|₫|{BOUNDARY}(?:vnd|vnđ){BOUNDARY}|(?:^|[{SPACES}]){GROUPED}[{SPACES}]*(?:đ|₫)"
 PRICE_PARTS = (rf"khoảng[{SPACES}]*giá[{SPACES}]*:.*", rf"(?:giá[{SPACES}]*)?(?:từ|den|đến)[{SPACES}]*{GROUPED}[{SPACES}]*(?:₫|đ|vnd|vnđ)?", rf"{CURRENCY}?[{SPACES}]*{GROUPED}(?:[{SPACES}]*{CURRENCY})?")
 NAMED_CODE = rf"{BOUNDARY}(?:SKU|MÃ|MODEL|MÃ SẢN PHẨM|MSP)[:#{SPACES}-]*([A-Z0-9][A-Z0-9._\-/]{{3,40}}){BOUNDARY}"

@@ -1,5 +1,8 @@
 """Operators whose cost once grew faster than their input."""
 
+from pyspark.sql import functions as F
+
+from tessella.functions import web as W
 from tessella.operators import imports as I
 
 
@@ -13,3 +16,9 @@ def test_header_steps_grow_with_the_fields_not_twofold_each(spark):
     assert got == {1: (0, 3, None), 2: (None, None, None), 3: (None, None, 1), 4: (0, 3, None)}
     size = [plan_size(I.catalog_columns(headers, I.CATALOG_FIELDS[:n])) for n in (5, 10)]
     assert size[1] < 3 * size[0]
+
+
+def test_digits_of_a_code_are_no_price(spark):
+    texts = [("hot bolt K10024", None), ("bolt K120000 560.137 đ", 560137), ("K1.234.567", None), ("VND10000", 10000), ("Giá10000", 10000), ("K10000 đ", 10000), ("S4-10000", 10000)]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
+    assert [r["v"] for r in rows.select("i", W.first_price(F.col("t"))["value"].alias("v")).orderBy("i").collect()] == [v for _, v in texts]
