@@ -92,22 +92,24 @@ def candidate_rank(variant: str) -> Column:
     return base + 40.0
 
 
-def variant_choices(lines: DataFrame, candidates: DataFrame, variants: list[str]) -> DataFrame:
-    """(variant, line, product, source, confidence): the product locked by the user, else the candidate of most points, else the suggested one.
+def variant_choices(lines: DataFrame, candidates: DataFrame, variants: list[str], keys: tuple[str, ...] = ("line",)) -> DataFrame:
+    """(variant, keys, product, source, confidence): the product locked by the user, else the candidate of most points, else the suggested one.
 
-    lines: line, locked, suggested, suggested_score; candidates: line, place and what
+    lines: keys, locked, suggested, suggested_score; candidates: keys, place and what
     `candidate_rank` reads. Candidates under `LEAST_SCORE` don't count; of equal points
-    the first is taken. Lines without any product are left out.
+    the first is taken. Lines without any product are left out. A line's variants are
+    columns until the end, so candidates and lines are sorted and shuffled once, not once a variant.
     """
-    # a partial maximum a line and variant, so nothing but the best is shuffled
-    best = F.max(F.struct("points", (-F.col("place")).alias("early"), "product", "score"))
-    ranked = candidates.where(F.col("score") >= LEAST_SCORE).select("line", "place", "product", "score", F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), candidate_rank(v).alias("points")) for v in variants))).alias("v"))
-    top = ranked.select("line", "place", "product", "score", "v.*").groupBy("line", "variant").agg(best.alias("b"))
-    asked = lines.withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
-    found = asked.join(top, ["line", "variant"], "left")
+    fits = candidates.where(F.col("score") >= LEAST_SCORE)
+    # a candidate's points in each variant; equal points and places leave nothing but the product to choose by
+    ranked = fits.select(*keys, (-F.col("place")).alias("early"), "product", "score", *(candidate_rank(v).alias(f"points_{v}") for v in variants))
+    top = ranked.groupBy(*keys).agg(*(F.max(F.struct(F.col(f"points_{v}").alias("points"), "early", "product", "score")).alias(f"best_{v}") for v in variants))
+    found = lines.select(*keys, "locked", "suggested", "suggested_score").join(top, list(keys), "left")
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(f"best_{v}").alias("b")) for v in variants)))
+    found = found.select(*keys, "locked", "suggested", "suggested_score", each.alias("v")).select(*keys, "locked", "suggested", "suggested_score", "v.variant", "v.b")
     case = lambda locked, ranked, suggested: F.when(F.col("locked").isNotNull(), locked).when(F.col("b").isNotNull(), ranked).when(F.col("suggested").isNotNull(), suggested)
     out = found.select(
-        "variant", "line", case(F.col("locked"), F.col("b.product"), F.col("suggested")).alias("product"), case(F.lit("user_locked"), F.lit("variant_suggestion"), F.lit("suggested")).alias("source"),
+        "variant", *keys, case(F.col("locked"), F.col("b.product"), F.col("suggested")).alias("product"), case(F.lit("user_locked"), F.lit("variant_suggestion"), F.lit("suggested")).alias("source"),
         case(F.lit(1.0), F.col("b.score"), F.coalesce("suggested_score", F.lit(0.45))).alias("confidence"),
     )
     return out.where(F.col("product").isNotNull())

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import web as W
 from tessella.operators import imports as I
+from tessella.plans import composition, imports
 
 
 def plan_size(df):
@@ -22,3 +23,18 @@ def test_digits_of_a_code_are_no_price(spark):
     texts = [("hot bolt K10024", None), ("bolt K120000 560.137 đ", 560137), ("K1.234.567", None), ("VND10000", 10000), ("Giá10000", 10000), ("K10000 đ", 10000), ("S4-10000", 10000)]
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
     assert [r["v"] for r in rows.select("i", W.first_price(F.col("t"))["value"].alias("v")).orderBy("i").collect()] == [v for _, v in texts]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_compositions_deal_lines_by_quote_once(spark):
+    assert exchanges(composition.composed_variants(spark, "/root/testdata/sf0.001")) <= 60
+
+
+def test_choices_shuffle_a_line_not_its_variants(spark):
+    """Candidates are counted once whatever the number of variants."""
+    found = imports.variant_choices(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("Aggregate [")
