@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.functions import web as W
+from tessella.operators import chunks as K
 from tessella.operators import imports as I
 from tessella.plans import composition, imports
 
@@ -38,3 +39,22 @@ def test_choices_shuffle_a_line_not_its_variants(spark):
     found = imports.variant_choices(spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("Aggregate [")
+
+
+def test_chunks_of_a_page_of_many_blocks(spark, monkeypatch):
+    """Blocks of four lines, pages of many; no page is one row's array."""
+    monkeypatch.setattr(K, "BLOCK_BITS", 2)
+    lines = [("f", page, n, "x" * ((n * 37 + page) % 29 + 1 if n % 13 else 0)) for page in (1, 2) for n in range(90)] + [(None, 1, 0, "y" * 70), (None, 1, 1, "z")]
+    want, at = [], {}
+    for file, page, _, line in lines:
+        if not line:
+            continue
+        open_ = want[-1] if want and want[-1][:2] == (file, page) else None
+        if open_ is None or len(open_[3]) >= 8 or sum(len(t) + 1 for t in open_[3]) + len(line) + 1 > 60:
+            at[file] = at.get(file, 0) + 1
+            open_ = (file, page, at[file], [])
+            want.append(open_)
+        open_[3].append(line)
+    rows = spark.createDataFrame(lines, "file string, page int, n int, line string").repartition(7)
+    found = K.chunk_lines(rows, 60, 8)
+    assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(repr((f, p, c, "\n".join(t), len(t))) for f, p, c, t in want)
