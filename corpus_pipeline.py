@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import mixing, near_dup, packing, toxicity
@@ -67,10 +68,28 @@ def order_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.withColumn("mix_key", key).join(slots, "mix_key", "left").repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """Rows with `file_no` and `row_no`, which sort as the rows were written.
+
+    A table that is read back comes with its largest files first, so its order is that of the files' names and of
+    the rows in each; other rows have the order of their plan.
+    """
+    if docs.inputFiles() and "_metadata" not in docs.columns:
+        try:
+            return docs.select("*", F.col("_metadata.file_name").alias("file_no"), F.col("_metadata.row_index").alias("row_no"))
+        except AnalysisException:  # not a table as it was read
+            pass
+    at = F.monotonically_increasing_id()
+    return docs.withColumn("at", at).select(*docs.columns, F.lpad(F.shiftright("at", 33).cast("string"), 10, "0").alias("file_no"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row_no"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's tokens, with an end token, go in sequences of 4,096."""
-    lengths = token_counts(docs.select("doc_id", "source", text_key(F.col("text")).alias("cluster"), "text")).withColumn("n_tokens", F.col("n_tokens") + 1)
-    return packing.best_fit(stage(lengths, "lengths"))
+    """Where each document's tokens, with an end token, go in sequences of 4,096: a shard packs consecutive documents of the mix, so sequences come in its order."""
+    placed = in_order(docs).select("doc_id", "source", text_key(F.col("text")).alias("cluster"), "file_no", "row_no", "text")
+    lengths = stage(token_counts(placed).withColumn("n_tokens", F.col("n_tokens") + 1), "lengths")
+    before = F.sum("n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    starts = lengths.groupBy("file_no").agg((F.max("row_no") + 1).alias("n")).select("file_no", F.coalesce(before, F.lit(0)).alias("before"))
+    return packing.best_fit(lengths.join(F.broadcast(starts), "file_no").withColumn("place", F.col("before") + F.col("row_no")), order_col="place")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dup", drop_near_duplicates), ("mixing", order_sources), ("packing", pack)]

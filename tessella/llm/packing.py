@@ -72,6 +72,7 @@ def _pack(lengths: np.ndarray, sources: np.ndarray, clusters: np.ndarray, alone:
 def best_fit(
     items: DataFrame, capacity: int = CAPACITY, per_source: int = 2, shard_rows: int = SHARD_ROWS,
     id_col: str = "doc_id", length_col: str = "n_tokens", source_col: str = "source", cluster_col: str = "cluster",
+    order_col: str | None = None,
 ) -> DataFrame:
     """Where each piece of each document goes: shard, bin, doc_id, piece, first_token, n_tokens, bin_offset.
 
@@ -81,19 +82,23 @@ def best_fit(
     source; a null cluster conflicts with nothing. Rows with equal ids are packed
     each on its own, in order of length, source and cluster. An empty table gives
     no rows. Other columns are ignored. The number of shards follows the number of
-    rows; a task holds about `shard_rows` rows of a few numbers each.
+    rows; a task holds about `shard_rows` rows of a few numbers each. With `order_col`, numbers from 0 without gaps,
+    a shard holds consecutive rows, of equal lengths the earlier go first, and shards and the bins in each are
+    numbered by the earliest row in them.
     """
     plain = items.select(
         F.coalesce(F.col(id_col), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.greatest(F.coalesce(F.col(length_col), F.lit(1)), F.lit(1)).cast("long").alias("length"),
         F.coalesce(F.xxhash64(F.col(source_col)), F.lit(0)).alias("source"),
-        F.xxhash64(F.lit(0), F.col(cluster_col)).alias("cluster"), F.col(cluster_col).isNull().alias("alone"), F.monotonically_increasing_id().alias("row"),
+        F.xxhash64(F.lit(0), F.col(cluster_col)).alias("cluster"), F.col(cluster_col).isNull().alias("alone"), (F.col(order_col).cast("long") if order_col else F.monotonically_increasing_id()).alias("row"),
     )
     shards = max(1, -(-items.count() // shard_rows))
-    dealt = plain.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    shard = F.floor(F.col("row") / shard_rows) if order_col else F.pmod(F.xxhash64("row"), F.lit(shards))
+    dealt = plain.withColumn("shard", shard.cast("int"))
     kind = dealt.select("doc_id").dtypes[0][1]
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "no_id", "doc_id", "source", "cluster", "row"], ascending=[False, True, True, True, True, True], kind="stable")
+        ties = ["row"] if order_col else ["no_id", "doc_id", "source", "cluster", "row"]
+        rows = rows.sort_values(["length", *ties], ascending=[False, *(True for _ in ties)], kind="stable")
         length, full = rows["length"].to_numpy(), rows["length"].to_numpy() // capacity
         rest = length - full * capacity
         count = full + (rest > 0)
@@ -110,6 +115,9 @@ def best_fit(
         number[part], number[whole] = bins, opened + np.arange(len(whole))
         place = np.zeros(len(at), dtype=np.int64)
         place[part] = offsets
+        if order_col:
+            first = pd.Series(rows["row"].to_numpy()[at]).groupby(number).transform("min").to_numpy()
+            number = pd.factorize(pd.Series(list(zip(first.tolist(), number.tolist(), strict=True))), sort=True)[0].astype(np.int64)
         return out.assign(bin=number, bin_offset=place)
 
     packed = dealt.groupBy("shard").applyInPandas(work, f"shard int, bin long, doc_id {kind}, no_id boolean, piece long, first_token long, n_tokens long, bin_offset long")

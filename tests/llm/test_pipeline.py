@@ -67,3 +67,19 @@ def test_mixing_stage_keeps_every_document(spark):
     both = long[: len(long) - long[::-1].index("even")]  # up to the end of the smaller of the two
     assert both.count("hot") < 40 and all(abs(both[:n].count("hot") - part * n) < 2.5 for n in range(1, len(both)))
     assert mixing_stage(spark, docs.where("false"), "").collect() == []
+
+
+def test_packing_follows_the_mix(spark, tmp_path):
+    """Sequences come in the order of the rows before, also when those were written and read back."""
+    rows = [(1000 - i, prose(i, 40), f"s{i % 9}") for i in range(300)]
+    docs = documents(spark, rows).repartition(5)
+    wanted = docs.withColumn("k", F.expr("hash(doc_id)")).orderBy("k")
+    wanted.drop("k").write.parquet(str(tmp_path / "docs"))
+    order = {r["doc_id"]: i for i, r in enumerate(wanted.collect())}
+    packed = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
+    assert sorted({r["doc_id"] for r in packed}) == sorted(order)
+    first = {}
+    for r in packed:
+        key = (r["shard"], r["bin"])
+        first[key] = min(first.get(key, 10**9), order[r["doc_id"]])
+    assert [first[k] for k in sorted(first)] == sorted(first.values())
