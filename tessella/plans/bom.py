@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import bom as B
 from tessella.plans import sql as S
-from tessella.plans.quoting import table
+from tessella.plans.quoting import spread, table
 
 LINES = [
     "1. Công tắc thông minh LM-S4 SL: 2", "Đèn downlight LM-D12-75", "Camera DS-2CD2143G2 4MP", "PHÒNG KHÁCH", "Tổng cộng", "Cáp mạng cat6", "Thiết bị", "Điều hòa cassette FXFQ50A", "Khóa vân tay DDL702",
@@ -20,7 +20,7 @@ LINE, SHEET, QTY = CELLS["name"], S.pick("p_size", SHEETS), S.pick("p_partkey +
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey as id", f"{SHEET} as sheet", f"{LINE} as text", f"{QTY} as q", "p_brand as area", "p_name")
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").selectExpr("p_partkey as id", f"{SHEET} as sheet", f"{LINE} as text", f"{QTY} as q", "p_brand as area", "p_name")
     rows = rows.withColumn("model", B.model_of(F.col("text")))
     rows = rows.withColumns({"name": B.bare_name(F.col("text"), F.col("model")), "qty": F.regexp_extract(F.replace(F.col("q"), F.lit(","), F.lit(".")), r"[0-9]+(?:\.[0-9]+)?", 0).try_cast("double")})
     rows = rows.withColumn("qty", F.when(F.col("q").contains("/"), None).otherwise(F.col("qty")))

@@ -1,11 +1,12 @@
 """Operators whose cost once grew faster than their input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import web as W
 from tessella.operators import chunks as K
 from tessella.operators import imports as I
-from tessella.plans import composition, imports
+from tessella.plans import assembly, bom, composition, imports, items, web
 
 
 def plan_size(df):
@@ -58,3 +59,9 @@ def test_chunks_of_a_page_of_many_blocks(spark, monkeypatch):
     rows = spark.createDataFrame(lines, "file string, page int, n int, line string").repartition(7)
     found = K.chunk_lines(rows, 60, 8)
     assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(repr((f, p, c, "\n".join(t), len(t))) for f, p, c, t in want)
+
+
+@pytest.mark.parametrize("query", [imports.file_suppliers, bom.bom_lines, web.product_images, assembly.sanitised_products, items.sheet_items])
+def test_heavy_rows_are_dealt_before_their_work(spark, query):
+    """A file of one split doesn't leave all work to one task."""
+    assert "Exchange hashpartitioning(p_partkey" in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
