@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import web as W
 from tessella.operators import survivors
-from tessella.plans.quoting import table
+from tessella.plans.quoting import spread, table
 from tessella.sources import cards, json_products
 
 PARTS = 8
@@ -76,7 +76,7 @@ IMAGES = (
 
 def product_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image chosen of several tags, attributes and widths."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.expr("CASE p_partkey % 4 {} END".format(" ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(IMAGES)))).alias("html"))
+    part = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.expr("CASE p_partkey % 4 {} END".format(" ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(IMAGES)))).alias("html"))
     return part.select("p_partkey", W.best_image(F.col("html"), F.lit("https://shop.example.com/list/")).alias("image"))
 
 
