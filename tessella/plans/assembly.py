@@ -13,13 +13,13 @@ from tessella.functions.text import clean_text
 from tessella.operators import assembly as A
 from tessella.plans import cleaning as Q
 from tessella.plans import sql as S
-from tessella.plans.quoting import table
+from tessella.plans.quoting import spread, table
 
 RAW, COST, LISTED = S.pick("p_size", ["", "Giá niêm yết 5.290.000", "Thanh toán 30 ngày", "LM-ST7 7.200.000", "giao hàng"]), "CASE WHEN p_partkey % 3 = 0 THEN 12.0 WHEN p_partkey % 3 = 1 THEN 2000000000000.0 ELSE p_retailprice * 1000 END", "CASE WHEN p_partkey % 4 = 0 THEN p_retailprice * 900 ELSE 0.0 END"
 
 
 def _sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "part").selectExpr(
+    items = spread(table(spark, sf_dir, "part"), "p_partkey").selectExpr(
         "p_partkey as id", f"{Q.NAME} as name", f"CASE WHEN p_size % 2 = 0 THEN '' ELSE {Q.SKU} END as sku", f"{Q.CATEGORY} as category", "p_brand as supplier", f"{Q.UNIT} as unit",
         f"CAST({COST} AS DOUBLE) as cost", f"CAST({LISTED} AS DOUBLE) as listed", f"{Q.SPEC} as specs", f"{RAW} as raw", "p_partkey % 5 = 0 as accepted",
     )
