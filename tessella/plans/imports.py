@@ -31,7 +31,7 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "part").selectExpr("p_partkey as id", f"{FILE} as file", f"{SUPPLIER} as supplier")
+    files = spread(table(spark, sf_dir, "part"), "p_partkey").selectExpr("p_partkey as id", f"{FILE} as file", f"{SUPPLIER} as supplier")
     return files.select("id", I.file_supplier(F.col("file")).alias("supplier"), I.profile_key(F.col("file"), F.col("supplier")).alias("profile"), I.profile_key(F.col("file"), F.lit("")).alias("file_key"))
 
 
