@@ -11,7 +11,7 @@ from tessella.operators import columns as M
 from tessella.operators import items as I
 from tessella.plans import columns as L
 from tessella.plans import sql as S
-from tessella.plans.quoting import table
+from tessella.plans.quoting import spread, table
 
 PLACE = {
     "sheet_name": S.pick("p_partkey", ["KÉT PHILIPS", "Bảng giá OSUNO", "KHÓA BIỆT THỰ", "", "Sheet1"]),
@@ -22,7 +22,7 @@ _CONTEXT = ", ".join(f"{x} as {c}" for c, x in PLACE.items())
 
 def sheet_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, rows = L._sheets(spark, sf_dir)
-    place = table(spark, sf_dir, "part").selectExpr(f"{L.SHEET} as sheet", "p_partkey as idx", f"{L._text('array(', ')')} as text", *(f"{x} as {c}" for c, x in PLACE.items()))
+    place = spread(table(spark, sf_dir, "part"), "p_partkey").selectExpr(f"{L.SHEET} as sheet", "p_partkey as idx", f"{L._text('array(', ')')} as text", *(f"{x} as {c}" for c, x in PLACE.items()))
     return I.sheet_items(place, I.price_labels(M.map_columns(headers, rows), headers))
 
 
