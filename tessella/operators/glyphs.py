@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import clean_text
+from tessella.functions.text import SPACES, clean_text
 
 #: Runs closer than this in height belong to one line.
 NEAR = 2.0
@@ -20,29 +20,23 @@ def page_lines(runs: DataFrame, page: list[str], order: str, text: str = "str",
     """Lines of each page, from the top: page columns, line (from 0), y, text.
 
     Runs are taken in their order; each joins the first line there is whose first run is less than 2 away in height, else begins
-    one. So a line's place depends on what came before, and runs are folded page by page: state are the lines of one page.
+    one. So a line's place depends on what came before. Runs of one height share a line, and a line that comes later changes
+    nothing for those before it: only a page's distinct heights are folded, into those that begin lines, and then each run finds its own.
     In a line runs stand by x, equal ones in their order; of lines of equal height the older comes first. Blank runs are left
     out, missing positions count as 0; runs of equal order are taken by height, x and text.
     """
     run = F.struct(F.col(order).alias("o"), tenths(F.col(y)).alias("y"), tenths(F.col(x)).alias("x"), F.col(text).alias("str"))
-    pages = runs.where(clean_text(F.col(text)) != "").groupBy(*page).agg(F.array_sort(F.collect_list(run)).alias("runs"))
-    part = lambda k, r: F.struct(r["x"].alias("x"), k.alias("k"), r["str"].alias("str"))
-    none = F.filter(F.array(F.struct(F.lit(0.0).alias("y"), F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0).alias("k"), F.lit("").alias("str"))).alias("parts"))), lambda _: F.lit(False))
-    start = F.struct(F.lit(0).alias("k"), none.alias("lines"))
-
-    def step(s: Column, r: Column) -> Column:
-        near = F.filter(F.transform(s["lines"], lambda line, i: F.struct(i.alias("i"), (F.abs(line["y"] - r["y"]) < NEAR).alias("near"))), lambda c: c["near"])
-        at = F.get(near, F.lit(0))["i"]
-        mine = F.array(part(s["k"], r))
-        joined = F.transform(s["lines"], lambda line, i: F.struct(line["y"].alias("y"), F.when(i == at, F.concat(line["parts"], mine)).otherwise(line["parts"]).alias("parts")))
-        lines = F.when(at.isNotNull(), joined).otherwise(F.concat(s["lines"], F.array(F.struct(r["y"].alias("y"), mine.alias("parts")))))
-        return F.struct((s["k"] + 1).alias("k"), lines.alias("lines"))
-
-    found = F.aggregate("runs", start, step, lambda s: s["lines"])
-    whole = lambda line: clean_text(F.array_join(F.transform(F.array_sort(line["parts"]), lambda p: p["str"]), " "))
-    ranked = F.array_sort(F.transform(found, lambda line, i: F.struct((-line["y"]).alias("down"), i.alias("i"), whole(line).alias("text"))))
-    out = pages.select(*page, F.posexplode(ranked).alias("line", "l"))
-    return out.select(*page, "line", (-F.col("l.down")).alias("y"), F.col("l.text").alias("text"))
+    pages = runs.where(F.col(text).rlike(f"[^{SPACES}]")).groupBy(*page).agg(F.sort_array(F.collect_list(run)).alias("runs"))
+    near = lambda a, b: F.abs(a - b) < NEAR
+    add = lambda firsts, h: F.when(F.exists(firsts, lambda f: near(f, h)), firsts).otherwise(F.concat(firsts, F.array(h)))
+    firsts = F.aggregate(F.array_distinct(F.col("runs.y")), F.array().cast("array<double>"), add)
+    at = lambda r: F.array_position(F.transform("firsts", lambda f: near(f, r["y"])), F.lit(True)).cast("int") - 1
+    placed = F.sort_array(F.transform("runs", lambda r, k: F.struct(at(r).alias("i"), r["x"].alias("x"), k.alias("k"), r["str"].alias("str"))))
+    lines = pages.select(*page, "runs", firsts.alias("firsts")).select(*page, "firsts", placed.alias("placed"))
+    whole = lambda i: F.array_join(F.transform(F.filter("placed", lambda p: p["i"] == i), lambda p: p["str"]), " ")
+    ranked = F.sort_array(F.transform("firsts", lambda h, i: F.struct((-h).alias("down"), i.alias("i"), whole(i).alias("text"))))
+    out = lines.select(*page, F.posexplode(ranked).alias("line", "l"))
+    return out.select(*page, "line", (-F.col("l.down")).alias("y"), clean_text(F.col("l.text")).alias("text"))
 
 
 def page_text(x: Column) -> Column:

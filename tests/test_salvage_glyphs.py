@@ -100,6 +100,15 @@ def test_lines_equal_a_plain_loop(spark):
     assert glyphs.page_lines(df.where("false"), ["page"], "k").count() == 0
 
 
+def test_lines_of_a_page_of_many_runs(spark):
+    """Heights are folded, not the lines with all their runs."""
+    rng = random.Random(6)
+    runs = [(k, rng.choice(["a", "b\u00a0c", "\u3000", "d"]), rng.uniform(0, 500), rng.choice([700.0, 700.6, 698.4, rng.uniform(0, 60)])) for k in range(2500)]
+    lines = glyphs.page_lines(spark.createDataFrame([(1, *r) for r in runs], "page int, k int, str string, x double, y double"), ["page"], "k")
+    assert [(r.y, r.text) for r in lines.orderBy("line").collect()] == plain_lines(runs)
+    assert "aggregate(array_distinct(runs" in lines._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_page_text(spark):
     rows = spark.createDataFrame([(0, " a\t\t b\x00\n\n\n\nc "), (1, None), (2, "x" * 30_000)], "k int, t string").orderBy("k")
     assert [r.v for r in rows.select(glyphs.page_text(F.col("t")).alias("v")).collect()] == ["a b\n\nc", "", "x" * 26_000]
