@@ -35,13 +35,20 @@ PUNCTUATION[33:127] = True
 PUNCTUATION &= ~LETTER
 PUNCTUATION[48:58] = False
 #: White space by any definition, in UTF-8, other than the four characters above.
-RARE = re.compile(rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf")
-#: Pieces that a worker keeps: about 50 MB. Those of the last KEPT / 2 new or old ones met stay known.
-KEPT = 250_000
+RARE = {0xC2: rb"[\x85\xa0]", 0xE1: rb"\x9a\x80|\xa0\x8e", 0xE2: rb"\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f", 0xE3: rb"\x80\x80", 0xEF: rb"\xbb\xbf"} | dict.fromkeys(b"\x0b\x0c\x1c\x1d\x1e\x1f", b"")
+#: Pieces that a worker keeps: about 200 MB. Those of the last KEPT / 2 new or old ones met stay known.
+KEPT = 1_000_000
 #: Bytes of a piece; longer ones are encoded each time.
 LONGEST = 200
 
 
+def finder(strings: list[bytes]) -> re.Pattern:
+    """Finds rare white space and the strings. It begins with a set of bytes, which is searched for much faster than alternatives are tried at each."""
+    rests = [(head, rest) for head, rest in RARE.items()] + [(t[0], re.escape(t[1:])) for t in strings]
+    byte = lambda b: b"\\x%02x" % b
+    return re.compile(b"[" + b"".join(byte(b) for b, _ in rests) + b"](?:" + b"|".join(b"(?<=" + byte(b) + b")(?:" + rest + b")" for b, rest in rests) + b")")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -60,8 +67,7 @@ class Encoder:
         self.before: dict[bytes, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         head = self.tokenizer.to_str().partition('"model"')[0]
-        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile(b"|".join([RARE.pattern, *special]))
+        self.whole = finder([t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.by_piece = '"ByteLevel"' in head and re.search(r'"normalizer":\s*null', head) is not None
 
     def _encode(self, texts: list[str]) -> list[bytes]:

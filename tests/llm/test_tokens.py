@@ -1,3 +1,5 @@
+import random
+import re
 import zlib
 
 import numpy as np
@@ -37,6 +39,25 @@ def thue_morse(n):
     return word
 
 
+def test_pieces_met_again_are_not_encoded_again(monkeypatch):
+    """A corpus has some 100,000 kinds of pieces; a worker meets them all in one task and again in the next."""
+    encode, asked = tokens.Encoder(tokens.default_path()), []
+    plain = encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda texts: asked.append(len(texts)) or plain(texts))
+    texts = pa.array([" ".join(f"w{i:x}" for i in range(k, k + 1000)) for k in range(0, 200_000, 1000)])
+    first = [x.tolist() for x in encode(texts)]
+    known = sum(asked)
+    assert [x.tolist() for x in encode(texts)] == first and sum(asked) == known
+
+
+def test_finder_of_rare_white_space():
+    plain = re.compile(rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf|<\|x>|a|\]\^")
+    some, rng = b"\x0b\x1f\xc2\x85\xa0\xe1\x9a\x80\x8e\xe2\xa8\xaf\x81\x9f\xe3\xef\xbb\xbf<|x>a]^ ", random.Random(3)
+    text = bytes(rng.choice(some) for _ in range(200_000)) + b"<|x>]^"
+    spans = lambda pattern: [m.span() for m in pattern.finditer(text)]
+    assert spans(tokens.finder([b"<|x>", b"a", b"]^"])) == spans(plain) != []
+
+
 def test_unlike_words_are_told_apart():
     """A word and its complement have equal polynomial hashes modulo 2**64, whatever the base."""
     a = thue_morse(1024)
