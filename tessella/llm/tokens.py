@@ -36,8 +36,8 @@ PUNCTUATION &= ~LETTER
 PUNCTUATION[48:58] = False
 #: White space by any definition, in UTF-8, other than the four characters above.
 RARE = {0xC2: rb"[\x85\xa0]", 0xE1: rb"\x9a\x80|\xa0\x8e", 0xE2: rb"\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f", 0xE3: rb"\x80\x80", 0xEF: rb"\xbb\xbf"} | dict.fromkeys(b"\x0b\x0c\x1c\x1d\x1e\x1f", b"")
-#: Pieces that a worker keeps: about 200 MB. Those of the last KEPT / 2 new or old ones met stay known.
-KEPT = 1_000_000
+#: Pieces that a worker keeps: about 50 MB. Those of the last KEPT / 2 new or old ones met stay known.
+KEPT = 250_000
 #: Bytes of a piece; longer ones are encoded each time.
 LONGEST = 200
 
@@ -123,14 +123,14 @@ class Encoder:
             yield from out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", path: str | None = None, into: str = "n_tokens") -> DataFrame:

@@ -41,7 +41,7 @@ def thue_morse(n):
 
 def test_pieces_met_again_are_not_encoded_again(monkeypatch):
     """A corpus has some 100,000 kinds of pieces; a worker meets them all in one task and again in the next."""
-    encode, asked = tokens.Encoder(tokens.default_path()), []
+    encode, asked = tokens.Encoder(tokens.default_path(), dac.KEPT_PIECES), []
     plain = encode._encode
     monkeypatch.setattr(encode, "_encode", lambda texts: asked.append(len(texts)) or plain(texts))
     texts = pa.array([" ".join(f"w{i:x}" for i in range(k, k + 1000)) for k in range(0, 200_000, 1000)])
