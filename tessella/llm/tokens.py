@@ -5,7 +5,8 @@ never reaches over the end of a word that white space follows, nor from a letter
 to punctuation after it. So the ids of a text are the ids of its pieces, cut at
 those places, one after another. Pieces are found and told apart with numpy, by a
 hash and then by their bytes; each distinct one is encoded by the tokenizer once a
-worker and then looked up by its bytes. Texts
+worker and then looked up by its bytes; those not met lately are encoded many in one
+text and told apart again by the lengths of their tokens. Texts
 with other white space than blank, tab and line ends, or with the string of an
 added token, are encoded whole.
 """
@@ -40,6 +41,8 @@ RARE = {0xC2: rb"[\x85\xa0]", 0xE1: rb"\x9a\x80|\xa0\x8e", 0xE2: rb"\x80[\x80-\x
 KEPT = 250_000
 #: Bytes of a piece; longer ones are encoded each time.
 LONGEST = 200
+#: Pieces encoded in one text.
+JOINED = 1024
 
 
 def finder(strings: list[bytes]) -> re.Pattern:
@@ -58,6 +61,9 @@ def default_path() -> str:
 class Encoder:
     """Ids of texts, equal to the tokenizer's own for each whole text without special tokens added."""
 
+    #: White space that begins a piece where none stands before it.
+    opens = WHITE
+
     def __init__(self, path: str, kept: int = KEPT) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -69,16 +75,43 @@ class Encoder:
         head = self.tokenizer.to_str().partition('"model"')[0]
         self.whole = finder([t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.by_piece = '"ByteLevel"' in head and re.search(r'"normalizer":\s*null', head) is not None
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)  # a byte-level token has a letter a byte
+        self.sizes[list(vocab.values())] = list(map(len, vocab))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, flat: np.ndarray, at: np.ndarray) -> list[np.ndarray] | None:
-        """The ids of each text; None where hashes can't tell two pieces apart."""
+    def _encode_pieces(self, keys: list[bytes]) -> list:
+        """The ids of pieces. Those that begin with white space and end without meet as in a text, so many are encoded at once."""
+        out: list[bytes] = [b""] * len(keys)
+        joined = [k for k, key in enumerate(keys) if len(key) <= LONGEST and WHITE[key[0]] and not WHITE[key[-1]]]
+        if self.whole.search(b"".join([keys[k] for k in joined])):
+            joined = []
+        runs = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        found = self.tokenizer.encode_batch_fast([b"".join([keys[k] for k in run]).decode() for run in runs], add_special_tokens=False)
+        alone = set(range(len(keys))).difference(joined)
+        for run, encoded in zip(runs, found, strict=True):
+            ids = np.array(encoded.ids, self.kind)
+            size, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(keys[k]) for k in run])
+            at = np.searchsorted(size, ends)
+            if at[-1] + 1 != len(ids) or not np.array_equal(size[at], ends):
+                alone.update(run)
+                continue
+            raw, bounds = ids.tobytes(), [0, *((at + 1) * self.kind.itemsize).tolist()]
+            for k, i, j in zip(run, bounds, bounds[1:]):
+                out[k] = raw[i:j]
+        rest = sorted(alone)
+        for k, ids in zip(rest, self._encode([keys[k].decode() for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def _pieces(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list, np.ndarray] | None:
+        """Each piece's kind, the ids of the kinds, and each text's first piece; None where hashes can't tell two pieces apart."""
         begins = np.zeros(len(flat) + 1, dtype=bool)
         white = WHITE[flat]
-        begins[1:-1] = (white[1:] & ~white[:-1]) | (LETTER[flat[:-1]] & PUNCTUATION[flat[1:]])
+        begins[1:-1] = (self.opens[flat[1:]] & ~white[:-1]) | (LETTER[flat[:-1]] & PUNCTUATION[flat[1:]])
         begins[at] = True
         starts = np.flatnonzero(begins[:-1])
         ends = np.append(starts[1:], len(flat))
@@ -94,7 +127,7 @@ class Encoder:
         for k in missed:
             found[k] = self.before.get(keys[k])
         new = [k for k in missed if found[k] is None]
-        for k, ids in zip(new, self._encode([keys[k].decode() for k in new]), strict=True):
+        for k, ids in zip(new, self._encode_pieces([keys[k] for k in new]), strict=True):
             found[k] = ids
         for k in missed:
             if len(keys[k]) > LONGEST:
@@ -102,26 +135,48 @@ class Encoder:
             if len(self.known) >= self.kept // 2:
                 self.known, self.before = {}, self.known
             self.known[keys[k]] = found[k]
-        pool = np.frombuffer(b"".join(found), self.kind)
-        lens = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-        begin = np.cumsum(lens) - lens
-        count = lens[codes]
-        done = np.concatenate([[0], np.cumsum(count)])
-        ids = pool[np.repeat(begin[codes] - done[:-1], count) + np.arange(done[-1])]
-        row = done[np.searchsorted(starts, at)]
-        return [ids[a:b] for a, b in zip(row[:-1], row[1:], strict=True)]
+        return codes, found, np.searchsorted(starts, at)
+
+    def _whole(self, flat: np.ndarray, at: np.ndarray, done: bool) -> list[tuple[int, np.ndarray]]:
+        """Number and ids of the texts that are encoded whole: all, unless the others are done."""
+        text = flat.tobytes()
+        rows = sorted({int(np.searchsorted(at, m.start(), side="right")) - 1 for m in self.whole.finditer(text)}) if done else range(len(at) - 1)
+        return [(k, np.frombuffer(self._encode([text[at[k] : at[k + 1]].decode()])[0], self.kind)) for k in rows]
 
     def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
         """An array of ids for each text of a string column; a null has those of an empty text."""
         for _, flat, at in slices(column):
-            text = flat.tobytes()
-            out = self._pieces(flat, at) if self.by_piece and len(flat) else None
-            whole = range(len(at) - 1) if out is None else {int(np.searchsorted(at, m.start(), side="right")) - 1 for m in self.whole.finditer(text)}
-            out = out or [np.zeros(0, self.kind)] * (len(at) - 1)
-            for k in whole:
-                out[k] = np.frombuffer(self._encode([text[at[k] : at[k + 1]].decode()])[0], self.kind)
+            pieces = self._pieces(flat, at) if self.by_piece and len(flat) else None
+            out = [np.zeros(0, self.kind)] * (len(at) - 1)
+            if pieces:
+                codes, found, first = pieces
+                pool = np.frombuffer(b"".join(found), self.kind)
+                lens = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+                begin = np.cumsum(lens) - lens
+                count = lens[codes]
+                done = np.concatenate([[0], np.cumsum(count)])
+                ids = pool[np.repeat(begin[codes] - done[:-1], count) + np.arange(done[-1])]
+                row = done[first]
+                out = [ids[a:b] for a, b in zip(row[:-1], row[1:], strict=True)]
+            for k, ids in self._whole(flat, at, pieces is not None):
+                out[k] = ids
             yield from out
 
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        parts = [np.zeros(0, np.int64)]
+        for _, flat, at in slices(column):
+            pieces = self._pieces(flat, at) if self.by_piece and len(flat) else None
+            out = np.zeros(len(at) - 1, np.int64)
+            if pieces:
+                codes, found, first = pieces
+                lens = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+                out = np.diff(np.concatenate([[0], np.cumsum(lens[codes])])[first])
+            for k, ids in self._whole(flat, at, pieces is not None):
+                out[k] = len(ids)
+            parts.append(out)
+        return np.concatenate(parts)
+
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
@@ -133,8 +188,8 @@ def encoder(path: str, kept: int = KEPT) -> Encoder:
     return _encoders[path, kept]
 
 
-def token_counts(docs: DataFrame, text_col: str = "text", path: str | None = None, into: str = "n_tokens") -> DataFrame:
-    """The rows with their text replaced by its number of ids (a null text has none)."""
+def token_counts(docs: DataFrame, text_col: str = "text", path: str | None = None, into: str = "n_tokens", kept: int = KEPT) -> DataFrame:
+    """The rows with their text replaced by its number of ids (a null text has none); a worker keeps `kept` pieces."""
     path = path or default_path()
     arrow_rows(docs.sparkSession)
     rest = [c for c in docs.columns if c != text_col]
@@ -142,7 +197,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", path: str | None = Non
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lens = [len(x) for x in encoder(path)(batch.columns[-1])]
+            lens = encoder(path, kept).counts(batch.columns[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lens, pa.int64())], names=[*rest, into])
 
     return plain.mapInArrow(work, StructType([*plain.schema.fields[:-1], StructField(into, LongType())]))

@@ -185,3 +185,16 @@ def test_sessions_settings_come_back(spark):
     before = [spark.conf.get(k) for k in keys]
     queries.QUERIES["op13_alignment"](spark, "/root/testdata/sf0.001")
     assert [spark.conf.get(k) for k in keys] == before and not [t for t in spark.catalog.listTables() if t.name.startswith("token_links")]
+
+
+def test_a_word_is_aligned_once_a_chunk(spark, monkeypatch):
+    """Work on tokens follows the distinct words of a chunk; texts that can't be cut are a word each."""
+    text = "some words, some more\n\twords\r\nand a rest "
+    docs = documents(spark, [(k, text) for k in range(30)] + [(30, "no\xa0cut here"), (31, "Ａ wide")]).coalesce(1)
+    rows = align.token_words(docs).collect()
+    runs, texts = [r for r in rows if r.words is None], [r for r in rows if r.words is not None]
+    # " some" is in it twice, "\n\twords\r\nand" is one word; the uncut text is one, the last has two
+    assert len(runs) == 1 and sorted(runs[0].ns) == [1] * 3 + [30] * 7 + [60] and runs[0].a.count(-1) == runs[0].b.count(-1) == len(runs[0].ns)
+    assert [len(r.words) for r in sorted(texts, key=lambda r: r.doc_id)] == [9] * 30 + [1, 2]
+    got = {r.doc_id: tuple(r)[1:] for r in align.alignment_digests(docs).collect()}
+    assert [got[k] for k in range(32)] == plain_alignment([text] * 30 + ["no\xa0cut here", "Ａ wide"])
