@@ -235,5 +235,6 @@ class Recent(dict):
 
 def text_key(column):
     """A key of a text's words: equal for texts with the same lower-cased words in the same order."""
-    words = F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), r"[\x20\x09-\x0D]+", " ")
+    # a blank alone is left as it is: replacing each would take most of the time
+    words = F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
     return F.xxhash64(F.trim(words))

@@ -50,10 +50,11 @@ def min_max(values: np.ndarray, begins: np.ndarray, permutations: int) -> np.nda
     """Signatures of rows that all have values: for each permutation the row's minimum and maximum."""
     factor, shift = seeds(permutations, 1) | np.uint64(1), seeds(permutations, 2)
     out = np.empty((len(begins) - 1, 2 * permutations), dtype=np.uint64)
+    h, high = np.empty_like(values), np.empty_like(values)  # fresh arrays for each step cost more than the step
     for k in range(permutations):
-        h = (values ^ shift[k]) * factor[k]
-        h ^= h >> np.uint64(32)
-        h *= factor[k]
+        np.multiply(np.bitwise_xor(values, shift[k], out=h), factor[k], out=h)
+        np.bitwise_xor(h, np.right_shift(h, np.uint64(32), out=high), out=h)
+        np.multiply(h, factor[k], out=h)
         out[:, 2 * k] = np.minimum.reduceat(h, begins[:-1])
         out[:, 2 * k + 1] = np.maximum.reduceat(h, begins[:-1])
     return out

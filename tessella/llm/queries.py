@@ -52,11 +52,13 @@ def op5_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 4,096 tokens; equal texts, near-duplicates (five-word shingles, 0.8) and more than two documents of a source never share one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text_key(F.col("text")).alias("key"), "text")
-    lengths = stage(token_counts(docs).withColumn("n_tokens", F.col("n_tokens") + 1), "lengths")
-    # by the text's key, not the id, so that rows without an id and different texts under one id have their own clusters
-    found = near_dup.near_duplicates(docs, id_col="key").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("cluster"))
-    return packing.best_fit(stage(lengths.join(found, "key", "left").drop("key"), "clustered"))
+    docs = table(spark, sf_dir, "documents").withColumn("text_id", F.xxhash64("text"))
+    keyed = docs.select("doc_id", "source", text_key(F.col("text")).alias("key"), "text_id", "text")
+    lengths = stage(token_counts(keyed, kept=500_000).withColumn("n_tokens", F.col("n_tokens") + 1), "lengths")
+    # by the text, not the id, so that rows without an id and different texts under one id have their own clusters
+    found = near_dup.near_duplicates(docs, id_col="text_id").groupBy(F.col("doc_id").alias("text_id")).agg(F.min("component_id").alias("cluster"))
+    clusters = lengths.select("key", "text_id").distinct().join(found, "text_id").groupBy("key").agg(F.min("cluster").alias("cluster"))
+    return packing.best_fit(stage(lengths.join(clusters, "key", "left").drop("key", "text_id"), "clustered"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

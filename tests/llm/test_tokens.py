@@ -197,3 +197,26 @@ def test_maintenance_goes_on_after_a_lost_driver(spark, tmp_path):
     ledger.commit("b", batch(2))
     ledger.maintain()
     assert ledger.totals().first().docs == 2 and ledger._state()[0] == ["totals=000000000001"]
+
+
+def test_pieces_met_first_are_encoded_together():
+    import pyarrow as pa
+
+    from tessella.llm import tokens
+
+    coder, sent = tokens.Encoder(tokens.default_path()), []
+    library = coder.tokenizer
+
+    class Spy:
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    coder.tokenizer = Spy()
+    texts = ["one two three, four\n\nfive  six ", "seven eight", None, "a\xa0b nine\x0bten eleven", ""]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in coder(pa.array(texts))] == want
+    assert coder.counts(pa.array(texts)).tolist() == list(map(len, want))
+    sent.clear()
+    assert [len(x) for x in coder(pa.array([" ".join(f"word{k}" for k in range(500))]))] == [len(library.encode(" ".join(f"word{k}" for k in range(500)), add_special_tokens=False).ids)]
+    assert len(sent) < 5
