@@ -74,10 +74,18 @@ def seeds(n: int, salt: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 
 
+#: Numbers that a kernel works on at once where it goes over them many times.
+RUN = 1 << 15
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+SOLID = (~SPACE).astype(np.uint8)
+
+
+def translated(flat: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[flat] for bytes, which indexing does much slower."""
+    return np.frombuffer(flat.tobytes().translate(table.tobytes()), np.uint8)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +119,7 @@ def word_spans(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Starts and ends of the words (runs of anything but space and 0x09-0x0D), and each row's first word."""
     if not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    solid = ~SPACE[flat]
+    solid = translated(flat, SOLID).view(bool)
     cut = np.zeros(len(flat) + 1, dtype=bool)
     cut[at] = True
     begins = solid.copy()
@@ -168,7 +176,7 @@ def same_spans(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np
 def word_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word with A-Z lower-cased, and the first word of each row."""
     starts, ends, first = word_spans(flat, at)
-    return span_hashes(LOWER[flat], starts, ends), first
+    return span_hashes(translated(flat, LOWER), starts, ends), first
 
 
 def windows(words: np.ndarray, first: np.ndarray, width: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -183,30 +191,58 @@ def windows(words: np.ndarray, first: np.ndarray, width: int, short: bool = True
     total = int(starts[-1])
     if not total:
         return np.zeros(0, np.uint64), starts
-    row = np.repeat(np.arange(len(lens)), count)
-    at = first[:-1][row] + (np.arange(total) - starts[:-1][row])
-    end = first[1:][row]
+    whole = np.flatnonzero(lens >= width)
     out = np.zeros(total, dtype=np.uint64)
-    for k in range(width):
-        inside = at + k < end
-        value = words[np.minimum(at + k, len(words) - 1)]
-        out = np.where(inside, mix(out * np.uint64(0x100000001B3) + value), out)
+    if len(whole):
+        value, h, high = np.zeros(max(len(words) - width + 1, 0), np.uint64), np.empty(RUN, np.uint64), np.empty(RUN, np.uint64)
+        for a in range(0, len(value), RUN):  # all runs, those that leave their row too
+            part = value[a : a + RUN]
+            n = len(part)
+            for k in range(width):
+                np.multiply(part, np.uint64(0x100000001B3), out=h[:n])
+                np.add(h[:n], words[a + k : a + k + n], out=h[:n])
+                part[:] = _mixed(h[:n], high[:n])
+        size = np.where(lens >= width, count, 0)
+        inside = np.zeros(len(value) + 1, np.int64)
+        np.add.at(inside, first[:-1][whole], 1)
+        np.add.at(inside, first[:-1][whole] + size[whole], -1)
+        inside = np.cumsum(inside[:-1]) > 0
+        to = np.repeat(lens >= width, count) if len(whole) < np.count_nonzero(count) else slice(None)
+        out[to] = value[inside]
+    few = np.flatnonzero((count > 0) & (lens < width))
+    if len(few):
+        h = np.zeros(len(few), np.uint64)
+        for k in range(width):
+            more = lens[few] > k
+            h[more] = mix(h[more] * np.uint64(0x100000001B3) + words[first[:-1][few[more]] + k])
+        out[starts[few]] = h
     return out, starts
 
 
+def _mixed(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """mix() in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.bitwise_xor(x, np.right_shift(x, np.uint64(shift), out=spare), out=x)
+        if factor:
+            np.multiply(x, np.uint64(factor), out=x)
+    return x
+
+
 def distinct_per_row(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values sorted and distinct inside each row, how often each occurs, and each row's first one."""
     n = len(starts) - 1
     if not len(values):
         return values, np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
-    row = np.repeat(np.arange(n), np.diff(starts))
-    order = np.lexsort((values, row))
-    v, r = values[order], row[order]
+    v, at = values.copy(), starts.tolist()
+    for i, j in zip(at, at[1:]):
+        if j - i > 1:
+            v[i:j].sort()
     new = np.ones(len(v), dtype=bool)
-    new[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-    at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(v)))
-    return v[at], counts, np.searchsorted(r[at], np.arange(n + 1))
+    new[1:] = v[1:] != v[:-1]
+    new[starts[:-1][starts[:-1] < len(v)]] = True
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(v)))
+    return v[first], counts, np.searchsorted(first, starts)
 
 
 def list_column(values: np.ndarray, starts: np.ndarray) -> pa.Array:

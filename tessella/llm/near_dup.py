@@ -33,6 +33,8 @@ from tessella.llm.common import arrow_rows, distinct_per_row, list_column, mix,
 from tessella.llm.components import connected_components
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 36, 6
+#: Shingles whose minima are taken at once.
+MINIMA = 1 << 17
 #: 64-bit words of the sketch that outer members of a bucket are compared by.
 SKETCH = 32
 
@@ -47,28 +49,35 @@ def _shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.n
 
 
 def min_max(values: np.ndarray, begins: np.ndarray, permutations: int) -> np.ndarray:
-    """Signatures of rows that all have values: for each permutation the row's minimum and maximum."""
-    factor, shift = seeds(permutations, 1) | np.uint64(1), seeds(permutations, 2)
-    out = np.empty((len(begins) - 1, 2 * permutations), dtype=np.uint64)
-    h, high = np.empty_like(values), np.empty_like(values)  # fresh arrays for each step cost more than the step
-    for k in range(permutations):
-        np.multiply(np.bitwise_xor(values, shift[k], out=h), factor[k], out=h)
-        np.bitwise_xor(h, np.right_shift(h, np.uint64(32), out=high), out=h)
-        np.multiply(h, factor[k], out=h)
-        out[:, 2 * k] = np.minimum.reduceat(h, begins[:-1])
-        out[:, 2 * k + 1] = np.maximum.reduceat(h, begins[:-1])
-    return out
+    """Signatures of rows that all have values: for each permutation of the hashes' upper halves the row's minimum and maximum."""
+    factor, shift = (seeds(permutations, 1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds(permutations, 2) >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((2 * permutations, len(begins) - 1), dtype=np.uint32)
+    short, step = (values >> np.uint64(32)).astype(np.uint32), np.array([15], np.uint32)
+    i = 0
+    while i < len(begins) - 1:  # some rows at a time, so that each step finds its numbers near
+        j = max(i + 1, int(np.searchsorted(begins, begins[i] + MINIMA, side="right")) - 1)
+        part, at = short[begins[i] : begins[j]], begins[i:j] - begins[i]
+        h, high = np.empty_like(part), np.empty_like(part)
+        for k in range(permutations):
+            by = factor[k : k + 1]
+            np.bitwise_xor(part, shift[k : k + 1], out=h)
+            np.multiply(h, by, out=h)
+            np.right_shift(h, step, out=high)
+            np.bitwise_xor(h, high, out=h)
+            np.multiply(h, by, out=h)
+            np.minimum.reduceat(h, at, out=out[2 * k, i:j])
+            np.maximum.reduceat(h, at, out=out[2 * k + 1, i:j])
+        i = j
+    return out.T.astype(np.uint64)
 
 
 def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band of `rows` signature values; the band's number is part of it."""
-    out = np.empty((len(signature), bands), dtype=np.uint64)
-    for b in range(bands):
-        key = np.full(len(signature), np.uint64(b + 1))
-        for r in range(rows):
-            key = mix(key * np.uint64(0x100000001B3) + signature[:, b * rows + r])
-        out[:, b] = key
-    return out
+    values = np.ascontiguousarray(signature[:, : bands * rows].T).reshape(bands, rows, len(signature))
+    key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(signature), axis=1)
+    for r in range(rows):
+        key = mix(key * np.uint64(0x100000001B3) + values[:, r])
+    return np.ascontiguousarray(key.T)
 
 
 def _text_keys(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -134,7 +143,7 @@ def sketches(sets: DataFrame, words: int = SKETCH) -> DataFrame:
             begins = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
             values = column.flatten().to_numpy().view(np.uint64)
             bits = (mix(min_max(values, begins, 32 * words)) >> np.uint64(63)).astype(np.uint8)
-            packed = np.packbits(bits, axis=1).view(np.int64)
+            packed = np.packbits(np.ascontiguousarray(bits), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(packed[:, k].copy()) for k in range(words))], names=names)
 
     names = ["doc_id", *(f"s{k}" for k in range(words))]

@@ -53,12 +53,20 @@ def op5_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 4,096 tokens; equal texts, near-duplicates (five-word shingles, 0.8) and more than two documents of a source never share one."""
     docs = table(spark, sf_dir, "documents").withColumn("text_id", F.xxhash64("text"))
-    keyed = docs.select("doc_id", "source", text_key(F.col("text")).alias("key"), "text_id", "text")
-    lengths = stage(token_counts(keyed, kept=500_000).withColumn("n_tokens", F.col("n_tokens") + 1), "lengths")
-    # by the text, not the id, so that rows without an id and different texts under one id have their own clusters
-    found = near_dup.near_duplicates(docs, id_col="text_id").groupBy(F.col("doc_id").alias("text_id")).agg(F.min("component_id").alias("cluster"))
-    clusters = lengths.select("key", "text_id").distinct().join(found, "text_id").groupBy("key").agg(F.min("cluster").alias("cluster"))
-    return packing.best_fit(stage(lengths.join(clusters, "key", "left").drop("key", "text_id"), "clustered"))
+    # near_duplicates lower-cases A-Z; texts that differ in the case of other letters only are found by a key, which ASCII texts need not have
+    key = F.when(F.octet_length("text") > F.length("text"), text_key(F.col("text")))
+    keyed = docs.select("doc_id", "source", key.alias("key"), "text_id", "text")
+    lengths = stage(token_counts(keyed).withColumn("n_tokens", F.col("n_tokens") + 1), "lengths")
+    # by the text, not the id, so that rows without an id and different texts under one id have their own clusters; texts without words are equal
+    cluster = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(0)
+    found = near_dup.near_duplicates(docs, id_col="text_id").groupBy(F.col("doc_id").alias("text_id")).agg(F.min(cluster).alias("cluster"))
+    clustered = stage(lengths.join(found, "text_id").drop("text_id"), "clustered")
+    same = clustered.where("key is not null").groupBy("key").agg(F.min("cluster").alias("same"), F.max("cluster").alias("most"))
+    same = stage(same.where("same < most").select("key", "same"), "same")
+    if not same.isEmpty():
+        joined = clustered.where("key is not null").join(same, "key", "left").withColumn("cluster", F.coalesce("same", "cluster"))
+        clustered = stage(joined.select(*clustered.columns).union(clustered.where("key is null")), "clustered")
+    return packing.best_fit(clustered)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

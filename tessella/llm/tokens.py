@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessella.llm.common import arrow_rows, same_spans, slices, span_hashes
+from tessella.llm.common import KEEP, arrow_rows, blocks, same_spans, slices, span_hashes
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 13, 32]] = True
@@ -42,7 +42,9 @@ KEPT = 250_000
 #: Bytes of a piece; longer ones are encoded each time.
 LONGEST = 200
 #: Pieces encoded in one text.
-JOINED = 1024
+JOINED = 256
+#: Slots, of 16 bytes each, of a worker's table of counts, and the bytes of a piece that fit in one.
+SLOTS, SHORT = 1 << 21, 15
 
 
 def finder(strings: list[bytes]) -> re.Pattern:
@@ -52,6 +54,45 @@ def finder(strings: list[bytes]) -> re.Pattern:
     return re.compile(b"[" + b"".join(byte(b) for b, _ in rests) + b"](?:" + b"|".join(b"(?<=" + byte(b) + b")(?:" + rest + b")" for b, rest in rests) + b")")
 
 
+class Counts:
+    """How many ids short pieces have. A slot holds the bytes of its piece, its size and the count, so no piece is taken for another; the piece met last has the slot."""
+
+    def __init__(self, slots: int = SLOTS) -> None:
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.shift = np.uint64(64 - (slots.bit_length() - 1))
+
+    def find(self, flat: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Each piece's count, 0 where it is not known, and what `put` needs. Pieces are of 1 to SHORT bytes."""
+        at = blocks(flat)
+        low = at[starts]
+        low &= KEEP.take(size, mode="clip")
+        high = size.astype(np.uint64) << np.uint64(60)
+        long = np.flatnonzero(size > 8)
+        high[long] |= at[starts[long] + 8] & KEEP[size[long] - 8]
+        slot = high * np.uint64(0x9FB21C651E98DF25)
+        slot ^= low
+        slot ^= slot >> np.uint64(32)
+        slot *= np.uint64(0xBF58476D1CE4E5B9)
+        slot ^= slot >> np.uint64(29)
+        slot *= np.uint64(0x94D049BB133111EB)
+        slot >>= self.shift
+        slot = slot.view(np.int64)
+        held = self.high.take(slot)
+        count = (held >> np.uint64(56)) & np.uint64(15)
+        held &= np.uint64(0xF0FFFFFFFFFFFFFF)
+        same = held == high
+        same &= self.low.take(slot) == low
+        count *= same
+        return count.view(np.int64), (slot, low, high)
+
+    def put(self, slot: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray) -> None:
+        fits = np.flatnonzero((count > 0) & (count < 16))
+        _, last = np.unique(slot[fits][::-1], return_index=True)
+        fits = fits[len(fits) - 1 - last]  # one piece a slot
+        self.low[slot[fits]] = low[fits]
+        self.high[slot[fits]] = high[fits] | (count[fits].astype(np.uint64) << np.uint64(56))
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -71,6 +112,8 @@ class Encoder:
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.counted: Counts | None = None
+        self.traits = bytes(int(WHITE[b]) + 2 * int(self.opens[b]) + 4 * int(LETTER[b]) + 8 * int(PUNCTUATION[b]) for b in range(256))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         head = self.tokenizer.to_str().partition('"model"')[0]
         self.whole = finder([t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()])
@@ -107,14 +150,19 @@ class Encoder:
             out[k] = ids
         return out
 
-    def _pieces(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list, np.ndarray] | None:
-        """Each piece's kind, the ids of the kinds, and each text's first piece; None where hashes can't tell two pieces apart."""
+    def _cuts(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces."""
+        traits = np.frombuffer(flat.tobytes().translate(self.traits), np.uint8)
         begins = np.zeros(len(flat) + 1, dtype=bool)
-        white = WHITE[flat]
-        begins[1:-1] = (self.opens[flat[1:]] & ~white[:-1]) | (LETTER[flat[:-1]] & PUNCTUATION[flat[1:]])
+        # white space that opens, after other; or punctuation after a letter
+        begins[1:-1] = ((traits[1:] & ~(traits[:-1] << 1) & 2) | (traits[1:] & (traits[:-1] << 1) & 8)) != 0
         begins[at] = True
         starts = np.flatnonzero(begins[:-1])
-        ends = np.append(starts[1:], len(flat))
+        return starts, np.append(starts[1:], len(flat))
+
+    def _pieces(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list, np.ndarray] | None:
+        """Each piece's kind, the ids of the kinds, and each text's first piece; None where hashes can't tell two pieces apart."""
+        starts, ends = self._cuts(flat, at)
         codes, names = pd.factorize(span_hashes(flat, starts, ends))
         first = np.empty(len(names), dtype=np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
@@ -122,6 +170,10 @@ class Encoder:
             return None  # unlike pieces with equal hashes
         text = flat.tobytes()
         keys = [text[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        return codes, self._found(keys), np.searchsorted(starts, at)
+
+    def _found(self, keys: list[bytes]) -> list:
+        """The ids of distinct pieces, by what is known of them."""
         found = list(map(self.known.get, keys))
         missed = [k for k, ids in enumerate(found) if ids is None]
         for k in missed:
@@ -135,7 +187,7 @@ class Encoder:
             if len(self.known) >= self.kept // 2:
                 self.known, self.before = {}, self.known
             self.known[keys[k]] = found[k]
-        return codes, found, np.searchsorted(starts, at)
+        return found
 
     def _whole(self, flat: np.ndarray, at: np.ndarray, done: bool) -> list[tuple[int, np.ndarray]]:
         """Number and ids of the texts that are encoded whole: all, unless the others are done."""
@@ -162,17 +214,34 @@ class Encoder:
                 out[k] = ids
             yield from out
 
+    def _sums(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many ids the pieces of each text have."""
+        if self.counted is None:
+            self.counted = Counts()
+        starts, ends = self._cuts(flat, at)
+        size, first = ends - starts, np.searchsorted(starts, at)
+        lens = np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(size <= SHORT)
+        lens[short], slots = self.counted.find(flat, starts[short], size[short])
+        missed, text = np.flatnonzero(lens == 0), flat.tobytes()
+        keys = [text[i:j] for i, j in zip(starts[missed].tolist(), ends[missed].tolist(), strict=True)]
+        kinds = dict.fromkeys(keys)
+        brief, rest = [k for k in kinds if len(k) <= SHORT], [k for k in kinds if len(k) > SHORT]
+        for some, found in ((brief, self._encode_pieces(brief)), (rest, self._found(rest))):
+            kinds.update(zip(some, (len(ids) // self.kind.itemsize for ids in found), strict=True))
+        lens[missed] = list(map(kinds.__getitem__, keys))
+        new = np.flatnonzero(size[missed] <= SHORT)
+        where = np.searchsorted(short, missed[new])
+        self.counted.put(*(x[where] for x in slots), lens[missed[new]])
+        return np.diff(np.concatenate([[0], np.cumsum(lens)])[first])
+
     def counts(self, column: pa.Array) -> np.ndarray:
-        """How many ids each text has."""
+        """How many ids each text has. Ids of short pieces are not kept, only their number."""
         parts = [np.zeros(0, np.int64)]
         for _, flat, at in slices(column):
-            pieces = self._pieces(flat, at) if self.by_piece and len(flat) else None
-            out = np.zeros(len(at) - 1, np.int64)
-            if pieces:
-                codes, found, first = pieces
-                lens = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-                out = np.diff(np.concatenate([[0], np.cumsum(lens[codes])])[first])
-            for k, ids in self._whole(flat, at, pieces is not None):
+            by_piece = self.by_piece and len(flat) > 0
+            out = self._sums(flat, at) if by_piece else np.zeros(len(at) - 1, np.int64)
+            for k, ids in self._whole(flat, at, by_piece):
                 out[k] = len(ids)
             parts.append(out)
         return np.concatenate(parts)

@@ -162,3 +162,13 @@ def test_near_copies_never_share_a_sequence(spark, tmp_path):
     group = lambda i: i % 3 if i < 12 else 0 if i < 14 else "blank"
     assert sorted(i for held in bins.values() for i in held) == list(range(16))
     assert all(len({group(i) for i in held}) == len(held) for held in bins.values()) and len(bins) == 6
+
+
+def test_equal_texts_but_for_the_case_of_any_letter_never_share_a_sequence(spark, tmp_path):
+    texts = ["École d'été à Paris", "ÉCOLE  D'ÉTÉ À PARIS ", "plain words here", "PLAIN words\nhere", "other words", "\t", None]
+    documents(spark, [(i, t, f"s{i}") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    held = defaultdict(set)
+    for r in queries.op6_packing(spark, str(tmp_path)).collect():
+        held[r["bin_id"]].add(r["doc_id"])
+    assert sorted(i for ids in held.values() for i in ids) == list(range(7))
+    assert not any({a, a + 1} <= ids for ids in held.values() for a in (0, 2, 5)) and len(held) == 2

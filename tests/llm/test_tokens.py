@@ -220,3 +220,26 @@ def test_pieces_met_first_are_encoded_together():
     sent.clear()
     assert [len(x) for x in coder(pa.array([" ".join(f"word{k}" for k in range(500))]))] == [len(library.encode(" ".join(f"word{k}" for k in range(500)), add_special_tokens=False).ids)]
     assert len(sent) < 5
+
+
+def test_counts_of_many_kinds_of_pieces_are_kept(monkeypatch):
+    """More kinds than a worker keeps the ids of: their counts are still there when they are met again."""
+    coder, asked = tokens.Encoder(tokens.default_path()), []
+    plain = coder._encode_pieces
+    monkeypatch.setattr(coder, "_encode_pieces", lambda keys: asked.append(len(keys)) or plain(keys))
+    texts = pa.array([" ".join(f"w{i:x}" for i in range(k, k + 1000)) for k in range(0, 300_000, 1000)])
+    first, new = coder.counts(texts), sum(asked)
+    assert (coder.counts(texts) == first).all() and new > 250_000 and sum(asked) - new < new // 4
+    assert first[:3].tolist() == [len(TOKENIZER.encode(t, add_special_tokens=False).ids) for t in texts[:3].to_pylist()]
+
+
+@given(st.lists(st.one_of(st.none(), st.text(max_size=60), st.text(alphabet="ab'., \n\x00\u00a0é<|>", max_size=60)), min_size=1, max_size=8))
+@settings(max_examples=80, deadline=None)
+def test_counts_of_pieces_that_share_slots(texts):
+    coder = tokens.Encoder.__new__(tokens.Encoder)
+    coder.__dict__ = _shared.__dict__ | {"counted": _few}
+    for _ in range(2):
+        assert coder.counts(pa.array(texts, pa.string())).tolist() == [len(TOKENIZER.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+_few = tokens.Counts(4)
