@@ -100,19 +100,32 @@ def variant_choices(lines: DataFrame, candidates: DataFrame, variants: list[str]
     the first is taken. Lines without any product are left out. A line's variants are
     columns until the end, so candidates and lines are sorted and shuffled once, not once a variant.
     """
-    fits = candidates.where(F.col("score") >= LEAST_SCORE)
-    # a candidate's points in each variant; equal points and places leave nothing but the product to choose by
-    ranked = fits.select(*keys, (-F.col("place")).alias("early"), "product", "score", *(candidate_rank(v).alias(f"points_{v}") for v in variants))
-    top = ranked.groupBy(*keys).agg(*(F.max(F.struct(F.col(f"points_{v}").alias("points"), "early", "product", "score")).alias(f"best_{v}") for v in variants))
+    top = ranked_candidates(candidates.where(F.col("score") >= LEAST_SCORE), variants, *keys).groupBy(*keys).agg(*best_candidates(variants))
     found = lines.select(*keys, "locked", "suggested", "suggested_score").join(top, list(keys), "left")
+    out = line_choices(found, variants, *keys).where(F.col("product").isNotNull())
+    return out.select("variant", *keys, "product", "source", "confidence")
+
+
+def ranked_candidates(candidates: DataFrame, variants: list[str], *keep: str) -> DataFrame:
+    """(keep, early, product, score, points_<variant>): equal points and places leave nothing but the product to choose by."""
+    return candidates.select(*keep, (-F.col("place")).alias("early"), "product", "score", *(candidate_rank(v).alias(f"points_{v}") for v in variants))
+
+
+def best_candidates(variants: list[str], *more: str) -> list[Column]:
+    """For an aggregate over ranked candidates: each variant's best one as a struct, null without any; rows without points don't count."""
+    best = lambda points: F.max(F.when(F.col(points).isNotNull(), F.struct(F.col(points).alias("points"), "early", "product", "score", *more)))
+    return [best(f"points_{v}").alias(f"best_{v}") for v in variants]
+
+
+def line_choices(found: DataFrame, variants: list[str], *keep: str) -> DataFrame:
+    """(variant, keep, product, source, confidence, best): a row for each variant of a line with its best candidates, product null where there is none."""
     each = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(f"best_{v}").alias("b")) for v in variants)))
-    found = found.select(*keys, "locked", "suggested", "suggested_score", each.alias("v")).select(*keys, "locked", "suggested", "suggested_score", "v.variant", "v.b")
-    case = lambda locked, ranked, suggested: F.when(F.col("locked").isNotNull(), locked).when(F.col("b").isNotNull(), ranked).when(F.col("suggested").isNotNull(), suggested)
-    out = found.select(
-        "variant", *keys, case(F.col("locked"), F.col("b.product"), F.col("suggested")).alias("product"), case(F.lit("user_locked"), F.lit("variant_suggestion"), F.lit("suggested")).alias("source"),
-        case(F.lit(1.0), F.col("b.score"), F.coalesce("suggested_score", F.lit(0.45))).alias("confidence"),
+    found = found.select(*keep, "locked", "suggested", "suggested_score", each.alias("v")).select(*keep, F.col("locked").alias("l"), F.col("suggested").alias("s"), "suggested_score", "v.variant", "v.b")
+    case = lambda locked, ranked, suggested: F.when(F.col("l").isNotNull(), locked).when(F.col("b").isNotNull(), ranked).when(F.col("s").isNotNull(), suggested)
+    return found.select(
+        "variant", *keep, case(F.col("l"), F.col("b.product"), F.col("s")).alias("product"), case(F.lit("user_locked"), F.lit("variant_suggestion"), F.lit("suggested")).alias("source"),
+        case(F.lit(1.0), F.col("b.score"), F.coalesce("suggested_score", F.lit(0.45))).alias("confidence"), F.col("b").alias("best"),
     )
-    return out.where(F.col("product").isNotNull())
 
 
 def moved_lines(lines: DataFrame, moves: DataFrame) -> DataFrame:

@@ -40,6 +40,26 @@ def test_compositions_deal_lines_by_quote_once(spark):
     assert exchanges(composition.composed_variants(spark, "/root/testdata/sf0.001")) <= 60
 
 
+def dealt(spark, query):
+    """Shuffles that a query writes, without those that are read again, and with no table small enough to be sent around."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]
+
+
+def test_composed_variants_deals_lines_once_and_looks_products_up_once(spark):
+    """Lines by quote, products asked for by product and back by quote, products, the templates' few products."""
+    found = dealt(spark, composition.composed_variants)
+    assert len(found) == 5, found
+
+
 def test_choices_shuffle_a_line_not_its_variants(spark):
     """Candidates are counted once whatever the number of variants."""
     found = imports.variant_choices(spark, "/root/testdata/sf0.001")
