@@ -109,8 +109,9 @@ def added_products(wanted: DataFrame, chosen: DataFrame, grouping: str = "scope"
     )
     found = found.select("quote", "v.variant", "v.c.product", "qty", "room", "note", "place", "shown", *(F.col(f"v.c.{m}") for m in more)).where("product is not null")
     both = found.unionByName(chosen.select("quote", "variant", "product", F.lit(True).alias("used")), allowMissingColumns=True)
-    line = F.min_by(F.struct("qty", "room", "note", "place", "shown", *more), "place").alias("l")
-    return both.groupBy("quote", "variant", "product").agg(line, F.max("used").alias("used")).where("l is not null and used is null").select("quote", "variant", "product", "l.*")
+    # a column each, so that those without use are not made and sorted; a variant's places are unlike
+    line = [F.min_by(c, "place").alias(c) for c in ("qty", "room", "note", "shown", *more)]
+    return both.groupBy("quote", "variant", "product").agg(F.min("place").alias("place"), F.max("used").alias("used"), *line).where("place is not null and used is null").drop("used")
 
 
 def rooms(lines: DataFrame, chosen: DataFrame, added: DataFrame) -> DataFrame:
@@ -149,14 +150,14 @@ def variant_sums(own: DataFrame, added: DataFrame, labour_percent: float = 0.0)
     both = own.select("quote", "variant", "place", "line", "shown", "qty", F.col("qty").alias("pieces"), "price", "cost", F.coalesce("locked", F.lit(False)).alias("locked"), F.lit(False).alias("template"),
         (F.col("product").isNotNull() & F.coalesce("known", F.lit(False)) & F.col("placed")).alias("counts"), (F.col("product").isNull() & F.col("placed")).alias("open")
     ).unionByName(added.select("quote", "variant", "qty", F.lit(1.0).alias("pieces"), "price", "cost", F.lit(False).alias("locked"), F.lit(True).alias("template"), F.lit(True).alias("counts"), F.lit(False).alias("open")), allowMissingColumns=True)
-    # a bounded rank, so no group is collected
+    # a bounded rank, so no group is collected; the aggregate reads rows as the rank has sorted them
     both = both.withColumn("r", F.row_number().over(Window.partitionBy("quote", "variant", "open").orderBy("place", "line")))
     total = lambda x: F.coalesce(F.sum(F.when(F.col("counts"), x)), F.lit(0.0))
     price, cost = (F.coalesce(F.col(c), F.lit(0.0)) * F.col("qty") for c in ("price", "cost"))
     sums = both.groupBy("quote", "variant").agg(
         F.count_if(~F.col("template")).alias("n_lines"), total(price).alias("device_total"), total(cost).alias("cost_total"), total(F.col("pieces")).alias("qty_total"), F.count_if("counts").alias("items"),
         F.count_if(F.col("counts") & F.col("locked")).alias("locked"), F.count_if("template").alias("template_lines"), F.count_if(F.col("counts") & ~F.col("template")).alias("matched"),
-        F.array_sort(F.collect_list(F.when(F.col("open") & (F.col("r") <= SAMPLE), F.struct("r", "shown")))).alias("sample"),
+        *(F.max(F.when(F.col("open") & (F.col("r") == i), F.col("shown"))).alias(f"sample_{i}") for i in range(1, SAMPLE + 1)),
     )
     counted = ("device_total", "cost_total", "qty_total")
     labour, profit = half_up(F.col("device_total") * labour_percent / 100).cast("double"), F.greatest(F.lit(0.0), F.col("device_total") - F.col("cost_total"))
@@ -164,5 +165,5 @@ def variant_sums(own: DataFrame, added: DataFrame, labour_percent: float = 0.0)
     return sums.where("n_lines > 0").select(
         "quote", "variant", *counted, "items", "locked", (F.col("items") - F.col("locked")).alias("auto"), "matched", (F.col("n_lines") - F.col("matched")).alias("unmatched"), "template_lines", labour.alias("labour"),
         (F.col("device_total") + labour).alias("grand_total"), profit.alias("profit"), percent(profit, F.col("device_total")).alias("margin_percent"), percent(F.col("matched"), F.col("n_lines")).alias("coverage"),
-        (F.col("items") > 0).alias("ready"), F.transform("sample", lambda s: s["shown"]).alias("unmatched_sample"),
+        (F.col("items") > 0).alias("ready"), F.array_compact(F.array(*(f"sample_{i}" for i in range(1, SAMPLE + 1)))).alias("unmatched_sample"),
     )

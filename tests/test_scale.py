@@ -60,6 +60,12 @@ def test_composed_variants_deals_lines_once_and_looks_products_up_once(spark):
     assert len(found) == 5, found
 
 
+def test_variant_rooms_deals_lines_once(spark):
+    """A condition on one use of the lines doesn't make it a shuffle of its own."""
+    found = dealt(spark, composition.variant_rooms)
+    assert len(found) == 5, found
+
+
 def test_choices_shuffle_a_line_not_its_variants(spark):
     """Candidates are counted once whatever the number of variants."""
     found = imports.variant_choices(spark, "/root/testdata/sf0.001")
