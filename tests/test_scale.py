@@ -66,6 +66,12 @@ def test_variant_rooms_deals_lines_once(spark):
     assert len(found) == 5, found
 
 
+def test_template_lines_deals_lines_once_and_not_the_templates_candidates(spark):
+    """Candidates are a dozen rows a quote and twenty products in all: none goes to its product."""
+    found = dealt(spark, composition.template_lines)
+    assert len(found) == 5 and not any("scope" in x or "component" in x for x in found), found
+
+
 def test_choices_shuffle_a_line_not_its_variants(spark):
     """Candidates are counted once whatever the number of variants."""
     found = imports.variant_choices(spark, "/root/testdata/sf0.001")
